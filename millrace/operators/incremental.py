@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
+from millrace.session import path_exists
+
 START_MARK = "1970-01-01 00:00:00"
 
 
@@ -21,10 +22,9 @@ class MarkStore:
         self.path = path
 
     def history(self) -> DataFrame:
-        try:
+        if path_exists(self.spark, self.path):
             return self.spark.read.schema(self.SCHEMA).parquet(self.path)
-        except AnalysisException:  # no mark was ever stored
-            return self.spark.createDataFrame([], self.SCHEMA)
+        return self.spark.createDataFrame([], self.SCHEMA)  # no mark was ever stored
 
     def _last(self, job: str):
         return (

@@ -282,7 +282,7 @@ def fn_dateadd(t: Tables) -> DataFrame:
     "fn_datediff",
     f"""
     SELECT {LINE}, date_diff('year', o_orderdate, l_shipdate) AS years, date_diff('quarter', o_orderdate, l_shipdate) AS quarters,
-           date_diff('month', o_orderdate, l_shipdate) AS months, date_diff('week', o_orderdate, l_shipdate) AS weeks,
+           date_diff('month', o_orderdate, l_shipdate) AS months, CAST(date_diff('day', date_trunc('week', o_orderdate), date_trunc('week', l_shipdate)) / 7 AS BIGINT) AS weeks,
            date_diff('day', o_orderdate, l_shipdate) AS days, date_diff('hour', o_orderdate, l_shipdate) AS hours
     FROM lineitem JOIN orders ON l_orderkey = o_orderkey
     """,

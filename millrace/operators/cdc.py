@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from millrace.operators.incremental import MarkStore, START_MARK
 from millrace.operators.windows import Order, latest_per_key
@@ -149,7 +149,12 @@ def run_cdc(
             fresh = add_new_keys(target, changes, keys, order)
         else:
             fresh = merge(target, changes, keys, order)
-    path = write_table(fresh, scratch_path(spark, "cdc"))
+    seen = Observation()
+    counted = fresh.observe(seen, F.count(F.lit(1)).alias("rows"))
+    path = write_table(counted, scratch_path(spark, "cdc"))
+    landed = spark.read.parquet(path).count()  # from file footers
+    if landed != seen.get["rows"]:
+        raise RuntimeError(f"{table}: wrote {seen.get['rows']} rows but found {landed}")
     if exists:
         spark.sql(f"ALTER TABLE {table} SET LOCATION '{path}'")
         spark.catalog.refreshTable(table)

@@ -57,6 +57,7 @@ FILE_PATHS = """
 
 def from_sql(t: Tables, text: str, *names: str) -> DataFrame:
     """Run a derived-input text on Spark; ``names`` are the tables it mentions."""
+    text = text.replace("{", "{{").replace("}", "}}")
     for name in names:
         text = text.replace(f"FROM {name}", "FROM {%s}" % name).replace(f"JOIN {name}", "JOIN {%s}" % name)
     # file timestamps have no zone

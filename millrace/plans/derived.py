@@ -36,6 +36,22 @@ SQL_CORPUS = """
     FROM orders
 """
 
+# Files of SQL text, one per order: parts set off by dash lines, comment lines or blank
+# lines, or statements that only semicolons separate.
+SQL_FILES = """
+    SELECT o_orderkey AS file_id, concat('sql/f_', CAST(o_orderkey AS VARCHAR(20)), '.sql') AS file_path,
+      CASE o_orderpriority
+        WHEN '1-URGENT' THEN concat('SELECT a FROM t WHERE k = ', CAST(o_custkey AS VARCHAR(20)), ';', chr(10), '-----', chr(10),
+                                    'UPDATE t', chr(10), 'SET a = 1 WHERE (k = 2;', chr(10), '----- end', chr(10), 'select  a from t where k = ',
+                                    CAST(o_custkey AS VARCHAR(20)), ';', chr(10), '---', chr(10), 'not a statement')
+        WHEN '2-HIGH' THEN concat('WITH u AS (SELECT 1 FROM x) SELECT * FROM u', chr(10), '-- first', chr(10), 'DELETE FROM t WHERE k = ',
+                                  CAST(o_orderkey AS VARCHAR(20)), chr(10), '-- second', chr(10), 'DROP t')
+        WHEN '3-MEDIUM' THEN concat('SELECT a, b', chr(10), 'FROM t', chr(10), chr(10), chr(10), 'INSERT INTO t SELECT k FROM s;', chr(10), chr(10), chr(10), 'hello')
+        WHEN '4-NOT SPECIFIED' THEN concat('Some words. SELECT a FROM t;', chr(10), 'SELECT b FROM s WHERE k = ', CAST(o_custkey AS VARCHAR(20)), '; the end')
+        ELSE concat('no statement here', chr(10), 'at all ', o_orderstatus) END AS content
+    FROM orders
+"""
+
 # Small job files, one per order.
 CODE_CORPUS = """
     SELECT o_orderkey AS file_id, concat('src/job_', CAST(o_orderkey AS VARCHAR(20)), '.py') AS file_path,
@@ -50,7 +66,7 @@ FILE_PATHS = """
     SELECT concat('data/year=', CAST(extract(year FROM o_orderdate) AS VARCHAR(4)), '/status=', o_orderstatus,
                   '/part-', CAST(o_orderkey AS VARCHAR(20)),
                   CASE WHEN o_orderkey % 3 = 0 THEN '.csv' ELSE '.parquet' END) AS path,
-           CAST(o_totalprice * 1000 AS BIGINT) AS length
+           CAST(CAST(o_totalprice AS DECIMAL(18,2)) * 1000 AS BIGINT) AS length
     FROM orders
 """
 
@@ -79,3 +95,7 @@ def code_corpus(t: Tables) -> DataFrame:
 
 def file_paths(t: Tables) -> DataFrame:
     return from_sql(t, FILE_PATHS, "orders")
+
+
+def sql_files(t: Tables) -> DataFrame:
+    return from_sql(t, SQL_FILES, "orders")

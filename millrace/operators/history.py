@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from millrace.operators.aggregates import top_k
 from millrace.operators.windows import Order, latest_per_key, top_per_group
+from millrace.session import spread
 
 
 def mean(column: str | Column) -> Column:
@@ -144,7 +145,7 @@ def run_each(df: DataFrame, key: str, column: str, fn: Callable[[str], object])
             yield pd.DataFrame({key: batch[key], "result": results, "error": errors})
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, column).mapInPandas(run, f"{key} {kind}, result string, error string")
+    return spread(df.select(key, column)).mapInPandas(run, f"{key} {kind}, result string, error string")
 
 
 # --- timings -----------------------------------------------------------------------

@@ -61,6 +61,16 @@ CODE_CORPUS = """
     FROM orders
 """
 
+# Files with two code blocks each; those of the lowest priority do not parse.
+BLOCK_CORPUS = """
+    SELECT o_orderkey AS file_id, o_orderstatus AS status, substr(o_orderpriority, 1, 1) AS digit,
+      concat('def load_', o_orderstatus, '(path):', chr(10), '    src_', substr(o_orderpriority, 1, 1), ' = spark.read.csv(path)', chr(10),
+             '    return src_', substr(o_orderpriority, 1, 1)) AS first_block,
+      concat('for k in range(', CAST(o_custkey AS VARCHAR(20)), '):', chr(10), '    print(k)') AS second_block,
+      CASE WHEN o_orderpriority = '5-LOW' THEN concat(chr(10), 'else broken') ELSE '' END AS rest
+    FROM orders
+"""
+
 # One file path per order, in a partitioned layout.
 FILE_PATHS = """
     SELECT concat('data/year=', CAST(extract(year FROM o_orderdate) AS VARCHAR(4)), '/status=', o_orderstatus,
@@ -99,3 +109,8 @@ def file_paths(t: Tables) -> DataFrame:
 
 def sql_files(t: Tables) -> DataFrame:
     return from_sql(t, SQL_FILES, "orders")
+
+
+def block_corpus(t: Tables) -> DataFrame:
+    text = f"SELECT file_id, concat(first_block, chr(10), second_block, rest) AS content FROM ({BLOCK_CORPUS})"
+    return from_sql(t, text, "orders")

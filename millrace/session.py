@@ -17,6 +17,8 @@ RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
 }
 
+SMALL_SHARE = 4 * 1024 * 1024  # bytes per core that Spark does not split any further
+
 _local_roots: dict[str, str] = {}
 
 
@@ -60,6 +62,17 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a share of a frame too small to be split by its bytes.
+
+    For work that costs much more per row than reading it. A frame of ordinary size has
+    enough partitions and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SMALL_SHARE else df
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether a file or folder exists, on any file system Spark can read."""
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -27,8 +27,6 @@ FAMILIES = (
 
 def load() -> None:
     for name in FAMILIES:
-        import os
-        if not os.path.exists(f"{os.path.dirname(__file__)}/{name}.py"): continue
         importlib.import_module(f"millrace.plans.{name}")
 
 

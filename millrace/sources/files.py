@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
@@ -19,6 +22,20 @@ class MissingFormat(RuntimeError):
     """The data source of a format is not on the classpath."""
 
 
+@contextmanager
+def _named_if_missing(fmt: str):
+    """Turn Spark's "no such data source" into a message that says what to add."""
+    try:
+        yield
+    except (AnalysisException, Py4JJavaError) as err:
+        missing = any(m in str(err) for m in ("DATA_SOURCE_NOT_FOUND", "Failed to find", "AVRO_NOT_LOADED"))
+        if fmt in EXTRA_FORMATS and missing:
+            raise MissingFormat(
+                f"format '{fmt}' is not available: add its Spark module to the session"
+            ) from err
+        raise
+
+
 def read_table(
     spark: SparkSession,
     path: str,
@@ -40,14 +57,8 @@ def read_table(
         reader = reader.option("mode", "DROPMALFORMED")
     for name, value in options.items():
         reader = reader.option(name, value)
-    try:
+    with _named_if_missing(fmt):
         return reader.load(path)
-    except AnalysisException as err:
-        if fmt in EXTRA_FORMATS:
-            raise MissingFormat(
-                f"format '{fmt}' is not available: add its Spark module to the session"
-            ) from err
-        raise
 
 
 def write_table(
@@ -69,14 +80,8 @@ def write_table(
         writer = writer.option("header", True)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    try:
+    with _named_if_missing(fmt):
         writer.save(path)
-    except AnalysisException as err:
-        if fmt in EXTRA_FORMATS:
-            raise MissingFormat(
-                f"format '{fmt}' is not available: add its Spark module to the session"
-            ) from err
-        raise
     return path
 
 

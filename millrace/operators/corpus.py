@@ -115,47 +115,46 @@ def extract_statements(files: DataFrame, path: str = "file_path", content: str =
     statement or none, statements are looked for by pattern in the cleaned text instead.
     Equal statements of a file count once, the first of them.
     """
-    whole = F.array(F.col(content))
-    cuts = [F.split(F.col(content), sep, -1) for sep in SEPARATORS]
+    files = files.select(F.col(path).alias("file_path"), F.col(content).alias("content"))
+    whole = F.array(F.col("content"))
+    for i, sep in enumerate(SEPARATORS):
+        files = files.withColumn(f"cut{i}", F.split(F.col("content"), sep, -1))
+    cuts = [F.col(f"cut{i}") for i in range(len(SEPARATORS))]
     most = F.greatest(F.lit(1), *[F.size(c) for c in cuts])
     # the whole text, then the separators in their order, win a tie
-    parts = F.when(F.size(whole) == most, whole)
+    parts = F.when(most == 1, whole)
     for cut in cuts:
         parts = parts.when(F.size(cut) == most, cut)
-    files = files.select(F.col(path).alias("file_path"), F.col(content).alias("content"))
-    pieces = files.withColumn("parts", parts)
     strip = lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")
-    pieces = pieces.withColumn("parts", F.filter(F.transform("parts", strip), lambda p: p != ""))
-    pieces = pieces.withColumn("n_valid", F.size(F.filter("parts", valid_sql)))
-
-    by_file = Window.partitionBy("file_path").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    cut_up = (
-        pieces.where(F.col("n_valid") > 1)
-        .select("file_path", F.posexplode("parts").alias("pos", "part"))
-        .withColumn(
-            "line_number",
-            F.coalesce(F.sum(occurrences(F.col("part"), "\n") + 2).over(by_file), F.lit(0)) + 1,
-        )
-        .where(valid_sql("part"))
-        .select("file_path", "pos", clean_text("part").alias("statement"), "line_number")
-    )
     # Cleaned text has no line breaks left: what follows a keyword up to a semicolon, up to
     # the end, or up to the end without a semicolon.
-    text = clean_text("content")
-    found = F.concat(
-        F.regexp_extract_all(text, F.lit(rf"(?is)\b({STATEMENT_KEYWORDS})\b.*?;"), F.lit(0)),
-        F.regexp_extract_all(text, F.lit(rf"(?is)\b({STATEMENT_KEYWORDS})\b.*"), F.lit(0)),
-        F.regexp_extract_all(text, F.lit(rf"(?is)\b({STATEMENT_KEYWORDS})\b[^;]*$"), F.lit(0)),
+    by_pattern = F.concat(
+        *[
+            F.regexp_extract_all("cleaned", F.lit(rf"(?is)\b({STATEMENT_KEYWORDS})\b{rest}"), F.lit(0))
+            for rest in (".*?;", ".*", "[^;]*$")
+        ]
     )
-    by_pattern = (
-        pieces.where(F.col("n_valid") <= 1)
-        .select("file_path", F.posexplode(found).alias("pos", "found"))
-        .where(valid_sql("found"))
+    marked = lambda p: F.struct(p.alias("text"), valid_sql(p).alias("valid"))
+    pieces = (
+        files.withColumn("parts", F.filter(F.transform(parts, strip), lambda p: p != ""))
+        .withColumn("parts", F.transform("parts", marked))
+        .withColumn("is_cut", F.size(F.filter("parts", lambda p: p["valid"])) > 1)
+        .withColumn("cleaned", F.when(~F.col("is_cut"), clean_text("content")))
         .select(
-            "file_path", "pos", F.trim("found").alias("statement"), F.lit(1).cast("bigint").alias("line_number")
+            "file_path",
+            "is_cut",
+            F.posexplode(F.when(F.col("is_cut"), F.col("parts")).otherwise(F.transform(by_pattern, marked))).alias("pos", "part"),
         )
     )
-    statements = cut_up.unionByName(by_pattern).withColumn("__same", normalized("statement"))
+    # one shuffle by file serves the line numbers and the removal of repeats
+    before = Window.partitionBy("file_path").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    step = F.when(F.col("is_cut"), occurrences(F.col("part.text"), "\n") + 2).otherwise(0)
+    statements = (
+        pieces.withColumn("line_number", F.coalesce(F.sum(step).over(before), F.lit(0)) + 1)
+        .where("part.valid")
+        .select("file_path", "pos", clean_text("part.text").alias("statement"), "line_number")
+        .withColumn("__same", normalized("statement"))
+    )
     first = latest_per_key(statements, ["file_path", "__same"], [("pos", True)])
     return first.select("file_path", "statement", "line_number", confidence("statement").alias("confidence"))
 

@@ -98,8 +98,8 @@ def load_watermark(
     rows = source.where(F.col(column) >= F.lit(mark).cast(kind))
     batch = marks.runs(job)
     if batch:
-        earlier = spark.read.parquet(f"{path}/ties").where(F.col("batch") < batch)
-        rows = rows.join(earlier.select(*key), key, "left_anti")
+        at_last = spark.read.parquet(f"{path}/ties/batch={batch - 1}")
+        rows = rows.join(at_last, key, "left_anti")
     seen = Observation()
     observed = rows.observe(
         seen, F.max(column).cast("string").alias("newest"), F.count(F.lit(1)).alias("rows")
@@ -114,7 +114,7 @@ def load_watermark(
     newest = metrics["newest"]
     at_mark = rows.where(F.col(column) == F.lit(newest).cast(kind)).select(*key)
     if newest == mark and batch:
-        at_mark = at_mark.unionByName(earlier.where(F.col("batch") == batch - 1).select(*key))
+        at_mark = at_mark.unionByName(at_last)
     at_mark.write.mode("overwrite").parquet(f"{path}/ties/batch={batch}")
     marks.set(job, newest)
     return {"rows": metrics["rows"], "mark": newest, "batch": batch}

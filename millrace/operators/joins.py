@@ -12,6 +12,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from millrace.session import plan_bytes, shuffle_partitions
+
 MB = 1024 * 1024
 
 # Fixed size limits of the join choice, in MB.
@@ -70,8 +72,7 @@ def decoded_mb(df: DataFrame) -> float:
 
 
 def plan_mb(df: DataFrame) -> float:
-    """Size the optimizer knows for the frame (file bytes for a scan), without running a job."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) / MB
+    return plan_bytes(df) / MB
 
 
 def fits_broadcast(df: DataFrame, limit_mb: float = BROADCAST_LIMIT_MB) -> bool:
@@ -145,7 +146,7 @@ def pair_with_all(left: DataFrame, right: DataFrame, stripes: int | None = None)
     no task holds the whole product.
     """
     if stripes is None:
-        stripes = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+        stripes = shuffle_partitions(left.sparkSession)
     lhs = left.withColumn("__stripe", F.pmod(F.xxhash64(*left.columns), F.lit(stripes)).cast("int"))
     rhs = right.withColumn("__stripe", F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))))
     return lhs.join(rhs, "__stripe").drop("__stripe")

@@ -14,9 +14,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from millrace.session import materialize
+from millrace.session import materialize, plan_bytes, shuffle_partitions
 
 HOT_ROWS = 5_000_000
+SLICE_BYTES = 256 * 1024 * 1024
 # At most this many groups take the sliced way. All others hold fewer rows than any of
 # them, hence less than 1/MAX_HOT_KEYS of the table, and go through the native window.
 MAX_HOT_KEYS = 10_000
@@ -222,22 +223,43 @@ def range_sum(
 ) -> DataFrame:
     """SUM(column) over rows of the key with ``axis`` in [current - width, current].
 
-    ``axis`` is an integer column (for a time, microseconds). Hot groups are cut into
-    cells as long as the frame; a row also goes, as context only, to the next cell.
+    ``axis`` is an integer column without nulls (for a time, microseconds); ``column`` an
+    exact number. In hot groups the sum is a difference of two running sums: up to the
+    current value, and up to the last value before the frame. Both come from one sliced
+    running sum over the distinct values and the frame starts.
     """
-    cold, hot, _ = split_hot(df, keys, hot_rows)
+    cold, hot, rows = split_hot(df, keys, hot_rows)
     window = Window.partitionBy(*keys).orderBy(axis).rangeBetween(-width, 0)
     native = cold.withColumn(out, F.sum(column).over(window))
     if hot is None:
         return native
-    cell = F.floor(F.col(axis) / F.lit(width)).cast("bigint")
-    copies = hot.withColumn("__home", cell).withColumn(
-        "__cell", F.explode(F.array(F.col("__home"), F.col("__home") + 1))
+    values = hot.groupBy(*keys, axis).agg(
+        F.sum(column).alias("__sum"), F.count(column).alias("__n")
+    ).withColumn("__sum", F.coalesce("__sum", F.lit(0)))
+    ends = values.select(*keys, F.col(axis).alias("__for"), F.lit(1).alias("__sign"), F.col(axis).alias("__at"), "__sum", "__n")
+    # a frame starts after all rows up to this point
+    starts = ends.select(*keys, "__for", F.lit(-1).alias("__sign"), (F.col("__at") - width - 1).alias("__at"),
+                         (F.col("__sum") * 0).cast(values.schema["__sum"].dataType).alias("__sum"), F.lit(0).cast("bigint").alias("__n"))
+    # at the same point the rows come before the frame starts
+    order = [("__at", True), ("__sign", False), ("__for", True)]
+    sliced = _sliced(ends.unionByName(starts), keys, order, 2 * rows, hot_rows)
+    carried = _with_carry(sliced, keys, {"__sum_before": F.sum("__sum"), "__n_before": F.sum("__n")})
+    local = (
+        Window.partitionBy(*keys, "__slice").orderBy(*ordering(order))
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    running = carried.select(
+        *keys,
+        "__for",
+        ((F.sum("__sum").over(local) + F.col("__sum_before")) * F.col("__sign")).alias("__sum"),
+        ((F.sum("__n").over(local) + F.col("__n_before")) * F.col("__sign")).alias("__n"),
     )
-    local = Window.partitionBy(*keys, "__cell").orderBy(axis).rangeBetween(-width, 0)
-    summed = copies.withColumn(out, F.sum(column).over(local))
-    kept = summed.where(F.col("__cell") == F.col("__home")).drop("__cell", "__home")
-    return native.unionByName(kept)
+    # two rows each: the frame's end and its start
+    frames = running.groupBy(*keys, "__for").agg(F.sum("__sum").alias("__sum"), F.sum("__n").alias("__n"))
+    frames = _renamed(frames.withColumnRenamed("__for", axis), [*keys, axis], "__f_")
+    total = F.when(F.col("__n") > 0, F.col("__sum")).cast(native.schema[out].dataType)
+    back = hot.join(frames, null_safe(hot, frames, [*keys, axis], "__f_"), "inner")
+    return native.unionByName(back.select(*df.columns, total.alias(out)))
 
 
 def group_totals(df: DataFrame, keys: list[str], aggs: dict[str, Column]) -> DataFrame:
@@ -272,7 +294,7 @@ def global_row_numbers(
 ) -> DataFrame:
     """1, 2, 3 … over the whole table in a total order, without a one-partition window."""
     if slices is None:
-        slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        slices = max(shuffle_partitions(df.sparkSession), math.ceil(plan_bytes(df) / SLICE_BYTES))
     ranged = df.repartitionByRange(slices, *ordering(order)).sortWithinPartitions(*ordering(order))
     ids = F.monotonically_increasing_id()
     # the id carries the partition above bit 33 and the position in it below

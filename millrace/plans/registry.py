@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.session import tune
+from millrace.session import folder_bytes, size_shuffles, tune
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,15 @@ QUERIES: dict[str, Builder] = {}
 ORACLES: dict[str, str] = {}
 
 
+_sizes: dict[str, int] = {}
+
+
+def _size_of(spark: SparkSession, folder: str) -> int:
+    if folder not in _sizes:
+        _sizes[folder] = folder_bytes(spark, folder)
+    return _sizes[folder]
+
+
 class Tables:
     """Lazy access to the Parquet tables of one data folder: ``t.orders``."""
 
@@ -38,7 +47,9 @@ def plan(name: str, sql: str | None = None):
             raise ValueError(f"plan {name} registered twice")
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(Tables(tune(spark), str(sf_dir).rstrip("/")))
+            folder = str(sf_dir).rstrip("/")
+            size_shuffles(tune(spark), _size_of(spark, folder))
+            return fn(Tables(spark, folder))
 
         QUERIES[name] = run
         if sql is not None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -17,6 +18,8 @@ RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
 }
 
+BYTES_PER_SHUFFLE_PARTITION = 512 * 1024 * 1024  # of input; columns are pruned before a shuffle
+MAX_SHUFFLE_PARTITIONS = 50_000
 SMALL_SHARE = 4 * 1024 * 1024  # bytes per core that Spark does not split any further
 
 _local_roots: dict[str, str] = {}
@@ -62,6 +65,35 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def plan_bytes(df: DataFrame) -> int:
+    """Size the optimizer knows for a frame (file bytes for a scan), without running a job."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def shuffle_partitions(spark: SparkSession) -> int:
+    """Partitions a shuffle starts with, before adaptive execution merges small ones."""
+    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    return int(spark.conf.get(key, None) or spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def size_shuffles(spark: SparkSession, input_bytes: int) -> None:
+    """Let shuffles start with enough partitions for an input of this size.
+
+    Only ever raises the number the session was given; adaptive execution merges what turns
+    out too small.
+    """
+    wanted = min(MAX_SHUFFLE_PARTITIONS, math.ceil(input_bytes / BYTES_PER_SHUFFLE_PARTITION))
+    if wanted > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(wanted))
+
+
+def folder_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes below a folder, as its file system reports them."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    file_system = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return file_system.getContentSummary(hadoop_path).getLength()
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give every core a share of a frame too small to be split by its bytes.
 
@@ -69,8 +101,7 @@ def spread(df: DataFrame) -> DataFrame:
     enough partitions and is left as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < cores * SMALL_SHARE else df
+    return df.repartition(cores) if plan_bytes(df) < cores * SMALL_SHARE else df
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:

@@ -165,4 +165,6 @@ def write_by_source(
     """One directory per source value, each row stamped with the run time."""
     if stamp is not None:
         df = df.withColumn("run_stamp", F.date_format(stamp, "yyyyMMdd_HHmmss"))
-    return write_table(df, path, partition_by=[source])
+    # rows of one source are brought together, large sources in several tasks, so that the
+    # number of files follows the bytes and not tasks times sources
+    return write_table(df.hint("rebalance", F.col(source)), path, partition_by=[source])

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from millrace.operators.windows import latest_per_key
+from millrace.session import spread
 
 # --- fixed values ------------------------------------------------------------------
 
@@ -69,7 +70,7 @@ def clean_text(text: str | Column) -> Column:
     """Whitespace runs to one blank, other than ASCII and NUL to a blank, ends trimmed."""
     out = F.regexp_replace(_col(text), WHITESPACE, " ")
     out = F.regexp_replace(out, r"[^\x00-\x7F]+", " ")
-    return F.trim(F.regexp_replace(out, r"\x00", " "))
+    return F.trim(F.replace(out, F.lit("\x00"), F.lit(" ")))
 
 
 def normalized(text: str | Column) -> Column:
@@ -115,7 +116,7 @@ def extract_statements(files: DataFrame, path: str = "file_path", content: str =
     statement or none, statements are looked for by pattern in the cleaned text instead.
     Equal statements of a file count once, the first of them.
     """
-    files = files.select(F.col(path).alias("file_path"), F.col(content).alias("content"))
+    files = spread(files.select(F.col(path).alias("file_path"), F.col(content).alias("content")))
     whole = F.array(F.col("content"))
     for i, sep in enumerate(SEPARATORS):
         files = files.withColumn(f"cut{i}", F.split(F.col("content"), sep, -1))
@@ -285,7 +286,7 @@ OPPORTUNITIES = ("select_star", "several_joins", "no_where", "multi_tenant")
 def findings(df: DataFrame, keys: list[str], rules: dict[str, Column], out: str = "rule") -> DataFrame:
     """(keys, rule) for every rule that holds; rows without a finding vanish."""
     hits = F.array_compact(F.array(*[F.when(cond, F.lit(name)) for name, cond in rules.items()]))
-    return df.select(*keys, F.explode(hits).alias(out))
+    return spread(df).select(*keys, F.explode(hits).alias(out))
 
 
 def workspace_files(df: DataFrame, keys: list[str], text: str) -> DataFrame:

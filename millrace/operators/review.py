@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from millrace.operators.corpus import has, occurrences
+from millrace.session import spread
 
 # --- fixed values: (rule, category, severity, pattern; case is ignored) -------------
 
@@ -55,6 +56,7 @@ def code_lines(files: DataFrame, keys: list[str], content: str = "content") -> D
 
 def review_findings(files: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
     """(keys, line_number, rule, category, severity); file-level findings have line 0."""
+    files = spread(files)
     line, after = F.col("line"), F.col("next_line")
     checks = [_finding(line.rlike(f"(?i){p}"), rule, cat, sev) for rule, cat, sev, p in LINE_RULES]
     checks.append(_finding(F.length(line) > MAX_LINE, "long_line", "style", "info"))

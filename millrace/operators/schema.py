@@ -8,6 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+from millrace.operators.expressions import lenient_cast
+from millrace.session import spread
+
 # Name parts that mark a likely partition column (fixed values).
 PARTITION_NAME_PARTS = ("year", "month", "day", "date", "partition", "bucket", "region")
 PARTITION_NAME = "|".join(PARTITION_NAME_PARTS)
@@ -25,10 +28,9 @@ TYPE_DEFAULTS = {
 }
 
 
-def type_name(sample: Column, variant: Column) -> Column:
-    """Hive type name of one JSON value, given its text and the variant it was parsed to."""
-    kind = F.schema_of_variant(variant)
-    text = F.try_variant_get(variant, "$", "string")
+def type_name(value: Column, kind: Column) -> Column:
+    """Hive type name of one JSON value and the kind of its variant; null for null."""
+    text = F.when(kind == "STRING", F.try_variant_get(value, "$", "string"))
     is_day = text.rlike(r"^\d{4}-\d{2}-\d{2}")
     scalar = (
         F.when(kind == "VOID", F.lit(None).cast("string"))
@@ -51,16 +53,19 @@ def infer_fields(df: DataFrame, column: str) -> DataFrame:
     combine, so a field that occurs in every record is no bottleneck.
     """
     spark = df.sparkSession
-    parsed = df.select(F.try_parse_json(F.col(column)).alias("doc")).where("doc IS NOT NULL")
+    parsed = spread(df.select(column)).select(F.try_parse_json(F.col(column)).alias("doc"))
+    parsed = parsed.where("doc IS NOT NULL")
     fields = spark.sql(
         "SELECT f.key AS field, f.value AS value FROM {docs}, LATERAL variant_explode(doc) AS f",
         docs=parsed,
     )
-    is_list = F.schema_of_variant("value").startswith("ARRAY")
-    first = F.try_variant_get("value", "$[0]", "variant")
-    element = F.coalesce(type_name(first, first), F.lit("string"))
+    value, first = F.col("value"), F.col("first")
+    fields = fields.withColumn("kind", F.schema_of_variant("value"))
+    is_list = F.col("kind").startswith("ARRAY")
+    fields = fields.withColumn("first", F.when(is_list, F.try_variant_get("value", "$[0]", "variant")))
+    element = F.coalesce(type_name(first, F.schema_of_variant("first")), F.lit("string"))
     kind = F.when(is_list, F.concat(F.lit("array<"), element, F.lit(">"))).otherwise(
-        type_name(F.col("value"), F.col("value"))
+        type_name(value, F.col("kind"))
     )
     votes = fields.select("field", kind.alias("type")).groupBy("field", "type").count()
     return votes.groupBy("field").agg(
@@ -234,7 +239,7 @@ def evolve(df: DataFrame, wanted: str | StructType, mode: str = "merge", case_se
             return default_of(field.dataType.simpleString()).alias(field.name)
         column = F.col(f"`{have[key].name}`")
         if have[key].dataType != field.dataType:
-            column = column.try_cast(field.dataType)
+            column = lenient_cast(column, field.dataType.simpleString())
         return column.alias(field.name)
 
     columns = [target(k) for k in goal]
@@ -254,7 +259,7 @@ def failed_casts(df: DataFrame, wanted: str | StructType) -> DataFrame:
     ]
     counts = df.agg(
         *[
-            F.count(F.when(F.col(old).isNotNull() & F.col(old).try_cast(f.dataType).isNull(), 1)).alias(f.name)
+            F.count(F.when(F.col(old).isNotNull() & lenient_cast(F.col(old), f.dataType.simpleString()).isNull(), 1)).alias(f.name)
             for old, f in changed
         ]
     )

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from millrace.operators import corpus as cp
 from millrace.plans.derived import SQL_CORPUS, SQL_FILES, sql_corpus, sql_files
 from millrace.plans.registry import Tables, plan
+from millrace.session import spread
 
 KEYWORDS = ", ".join(f"'{k}'" for k in cp.SQL_KEYWORDS)
 WS = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]+"
@@ -96,7 +97,7 @@ def extract_sql(t: Tables) -> DataFrame:
 
 @plan("clean_text", f"SELECT doc_id, {clean('text')} AS cleaned FROM documents")
 def clean_text(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", cp.clean_text("text").alias("cleaned"))
+    return spread(t.documents.select("doc_id", "text")).select("doc_id", cp.clean_text("text").alias("cleaned"))
 
 
 @plan("valid_sql", f"SELECT stmt_id, {valid('sql')} AS valid FROM ({SQL_CORPUS})")

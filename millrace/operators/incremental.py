@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from millrace.session import path_exists
@@ -84,15 +86,17 @@ def load_watermark(
     marks: MarkStore,
     key: list[str],
     transform: str | None = None,
+    log: str | None = None,
 ) -> dict:
     """Load the rows above the mark of ``job`` into ``path/batch=n``, then move the mark.
 
     Rows equal to the mark are read again and dropped if an earlier batch has their key,
     so late rows that tie with the mark are not lost. The batch folder is overwritten, so a
     run that failed before the mark moved can be repeated. The new mark is observed while
-    the data is written.
+    the data is written. With ``log`` a row about the run is appended to that folder.
     """
     spark = source.sparkSession
+    started = time.perf_counter()
     mark = marks.get(job)
     kind = source.schema[column].dataType
     rows = source.where(F.col(column) >= F.lit(mark).cast(kind))
@@ -117,9 +121,32 @@ def load_watermark(
         at_mark = at_mark.unionByName(at_last)
     at_mark.write.mode("overwrite").parquet(f"{path}/ties/batch={batch}")
     marks.set(job, newest)
+    if log:
+        log_run(spark, log, job, batch, metrics["rows"], newest, time.perf_counter() - started)
     return {"rows": metrics["rows"], "mark": newest, "batch": batch}
 
 
+RUN_LOG = "job_name string, batch int, records bigint, mark string, seconds double"
+
+
+def log_run(spark: SparkSession, path: str, job: str, batch: int, records: int, mark: str, seconds: float) -> None:
+    row = spark.createDataFrame([(job, batch, records, mark, seconds)], RUN_LOG)
+    row.coalesce(1).write.mode("append").parquet(path)
+
+
+def run_report(spark: SparkSession, path: str, as_of: Column) -> DataFrame:
+    """Per job of a run log: runs, records, mean latency, last mark and its age in seconds."""
+    runs = spark.read.schema(RUN_LOG).parquet(path)
+    last = F.max_by("mark", "batch")
+    return runs.groupBy("job_name").agg(
+        F.count(F.lit(1)).alias("runs"),
+        F.sum("records").alias("records"),
+        F.avg("seconds").alias("mean_seconds"),
+        last.alias("mark"),
+        F.timestamp_diff("SECOND", last.cast("timestamp_ntz"), as_of).alias("age_seconds"),
+    )
+
+
 def run_metrics(df: DataFrame, batch: str, column: str, as_of: Column) -> DataFrame:
     """Per run: records, first and last event, window length, freshness and running total."""
     first, last = F.min(column), F.max(column)

@@ -26,6 +26,9 @@ TABLES = {
     "embeddings": "vec_id:bigint embedding:array<float> label:int",
     "pages": "page_id:bigint url:string html:string",
     "conversations": "conv_id:bigint turn:bigint role:string text:string",
+    "nation": "n_nationkey:int n_name:string n_regionkey:int",
+    "region": "r_regionkey:int r_name:string",
+    "benchmark": "item_id:bigint text:string",
     "labels": "doc_id:bigint quality:int toxic:int",
 }
 

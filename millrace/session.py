@@ -49,8 +49,21 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A path below the shared folder that no earlier call has returned."""
-    return f"{shared_root(spark)}/millrace/{label}-{uuid.uuid4().hex}"
+    """A path in the application's scratch folder that no earlier call has returned."""
+    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def scratch_root(spark: SparkSession) -> str:
+    return f"{shared_root(spark)}/millrace/{spark.sparkContext.applicationId}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete what this application wrote to its scratch folder.
+
+    Call it when no frame made by the library is needed any more.
+    """
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

@@ -1,7 +1,7 @@
 import pytest
 
 from millrace.plans.registry import Tables
-from millrace.session import tune
+from millrace.session import clear_scratch, tune
 from tests.harness import duck, session
 
 SMALL = "/root/testdata/sf0.001"
@@ -9,7 +9,9 @@ SMALL = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    return tune(session(4))
+    session_ = tune(session(4))
+    yield session_
+    clear_scratch(session_)
 
 
 @pytest.fixture(scope="session")

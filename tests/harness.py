@@ -14,6 +14,8 @@ import time
 import duckdb
 from pyspark.sql import SparkSession
 
+from millrace.session import clear_scratch
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
     "embeddings pages benchmark labels conversations"
@@ -127,6 +129,7 @@ def main(argv):
         if message:
             bad.append(name)
             print("     ", message, flush=True)
+    clear_scratch(spark)
     print(f"{len(bad)} failed: {bad}")
 
 

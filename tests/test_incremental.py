@@ -63,6 +63,17 @@ def test_watermark_transform(spark):
     assert rows(spark.read.parquet(f"{path}/data"), "x") == [(20,)]
 
 
+def test_run_log(spark):
+    path = scratch_path(spark, "wm")
+    marks = inc.MarkStore(spark, f"{path}/marks")
+    df = events(spark, (1, "2024-01-01 00:00:00"), (2, "2024-01-02 00:00:00"), (3, "2024-01-03 00:00:00"))
+    for cut in ("2024-01-02", "2024-01-04"):
+        inc.load_watermark(df.where(F.col("ts") < at(cut)), path, "ts", "j", marks, ["id"], log=f"{path}/log")
+    got = inc.run_report(spark, f"{path}/log", at("2024-01-03 00:01:00")).first()
+    assert (got.runs, got.records, got.mark, got.age_seconds) == (2, 3, "2024-01-03 00:00:00", 60)
+    assert got.mean_seconds > 0
+
+
 def test_lookback_rerun_replaces_whole_days(spark):
     path = scratch_path(spark, "lb")
     df = events(spark, (1, "2024-01-01 10:00:00"), (2, "2024-01-02 01:00:00"))

@@ -35,63 +35,75 @@ PATTERN_TAGS = (
 )
 
 
-def _finding(cond: Column, rule: str, category: str, severity: str) -> Column:
-    row = F.struct(F.lit(rule).alias("rule"), F.lit(category).alias("category"), F.lit(severity).alias("severity"))
-    return F.when(cond, row)
+def line_checks(line: Column, after: Column) -> list[tuple[str, str, str, Column]]:
+    """(rule, category, severity, condition) of every check on a line and the one after it."""
+    checks = [(rule, cat, sev, line.rlike(f"(?i){p}")) for rule, cat, sev, p in LINE_RULES]
+    undocumented = line.rlike(r"^\s*def\s+\w+") & after.isNotNull() & ~after.rlike(r"^\s*['\"]{3}")
+    checks.append(("long_line", "style", "info", F.length(line) > MAX_LINE))
+    checks.append(("missing_docstring", "style", "info", undocumented))
+    return checks
+
+
+def file_checks(text: Column) -> list[tuple[str, str, str, Column]]:
+    """(rule, category, severity, condition) of every check on a whole file."""
+    return [
+        ("missing_glue_imports", "aws_glue", "info", ~has(text, "from awsglue", "GlueContext")),
+        ("missing_job_commit", "aws_glue", "warning", ~text.rlike(r"(?i)job\.commit\(\)")),
+    ]
 
 
-def code_lines(files: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
-    """(keys, line_number, line, next_line); ``next_line`` is null on the last line.
+def _line_pairs(content: str) -> Column:
+    """Lines with the line after each, null after the last.
 
-    The following line is taken from the same array, so no window has to order the lines.
+    The next line is taken from the same array, so no window has to order the lines.
     """
     lines = F.split(F.col(content), "\n", -1)
     following = F.slice(lines, F.lit(2), F.size(lines))
-    pairs = F.arrays_zip(lines.alias("line"), following.alias("next_line"))
-    exploded = files.select(*keys, F.posexplode(pairs).alias("pos", "pair"))
-    return exploded.select(
-        *keys, (F.col("pos") + 1).alias("line_number"), "pair.line", "pair.next_line"
-    )
+    return F.arrays_zip(lines.alias("line"), following.alias("next_line"))
 
 
 def review_findings(files: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
     """(keys, line_number, rule, category, severity); file-level findings have line 0."""
+
+    def hits(checks: list) -> Column:
+        found = [
+            F.when(cond, F.struct(F.lit(rule).alias("rule"), F.lit(cat).alias("category"), F.lit(sev).alias("severity")))
+            for rule, cat, sev, cond in checks
+        ]
+        return F.explode(F.array_compact(F.array(*found))).alias("f")
+
     files = spread(files)
-    line, after = F.col("line"), F.col("next_line")
-    checks = [_finding(line.rlike(f"(?i){p}"), rule, cat, sev) for rule, cat, sev, p in LINE_RULES]
-    checks.append(_finding(F.length(line) > MAX_LINE, "long_line", "style", "info"))
-    undocumented = line.rlike(r"^\s*def\s+\w+") & after.isNotNull() & ~after.rlike(r"^\s*['\"]{3}")
-    checks.append(_finding(undocumented, "missing_docstring", "style", "info"))
-    by_line = code_lines(files, keys, content).select(
-        *keys, "line_number", F.explode(F.array_compact(F.array(*checks))).alias("f")
-    )
-    text = F.col(content)
-    whole = [
-        _finding(~has(text, "from awsglue", "GlueContext"), "missing_glue_imports", "aws_glue", "info"),
-        _finding(~text.rlike(r"(?i)job\.commit\(\)"), "missing_job_commit", "aws_glue", "warning"),
-    ]
-    by_file = files.select(
-        *keys, F.lit(0).alias("line_number"), F.explode(F.array_compact(F.array(*whole))).alias("f")
+    lines = files.select(*keys, F.posexplode(_line_pairs(content)).alias("pos", "pair")).select(
+        *keys, (F.col("pos") + 1).alias("line_number"), "pair.line", "pair.next_line"
     )
+    by_line = lines.select(*keys, "line_number", hits(line_checks(F.col("line"), F.col("next_line"))))
+    by_file = files.select(*keys, F.lit(0).alias("line_number"), hits(file_checks(F.col(content))))
     return by_line.unionByName(by_file).select(*keys, "line_number", "f.*")
 
 
 def review_metrics(files: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
-    """Per file: lines, and findings in total, by severity and by category."""
+    """Per file: lines, and findings in total, by severity and by category.
 
-    def count(cond: Column) -> Column:
-        return F.count(F.when(cond, 1))
+    Counted inside each row, so nothing is shuffled.
+    """
+    files = spread(files).withColumn("__pairs", _line_pairs(content))
 
-    found = review_findings(files, keys, content)
-    aggs = [F.count(F.lit(1)).alias("issues")]
-    aggs += [count(F.col("severity") == s).alias(f"n_{s}") for s in ("error", "warning", "info")]
-    aggs += [
-        count(F.col("category") == c).alias(f"n_{c}")
-        for c in ("aws_glue", "performance", "best_practice", "style")
-    ]
-    counts = found.groupBy(*keys).agg(*aggs)
-    lines = files.select(*keys, (occurrences(F.col(content), "\n") + 1).alias("lines"))
-    return lines.join(counts, keys, "left").fillna(0)
+    def lines_with(check: int) -> Column:
+        return F.size(F.filter("__pairs", lambda p: line_checks(p["line"], p["next_line"])[check][3]))
+
+    kinds_of_checks = line_checks(F.lit(""), F.lit(""))
+    counts = [(cat, sev, lines_with(i)) for i, (_, cat, sev, _) in enumerate(kinds_of_checks)]
+    counts += [(cat, sev, F.when(cond, 1).otherwise(0)) for _, cat, sev, cond in file_checks(F.col(content))]
+    counted = files.select(
+        *keys, F.size("__pairs").alias("lines"), *[c.alias(f"__c{i}") for i, (_, _, c) in enumerate(counts)]
+    )
+
+    def total(kind: str | None) -> Column:
+        picked = [F.col(f"__c{i}") for i, (cat, sev, _) in enumerate(counts) if kind in (None, cat, sev)]
+        return sum(picked[1:], picked[0]).cast("bigint")
+
+    kinds = ("error", "warning", "info", "aws_glue", "performance", "best_practice", "style")
+    return counted.select(*keys, "lines", total(None).alias("issues"), *[total(k).alias(f"n_{k}") for k in kinds])
 
 
 def file_inventory(files: DataFrame, keys: list[str], path: str = "file_path", content: str = "content") -> DataFrame:

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import etl, layout as ly
-from millrace.session import path_exists, scratch_path, shared_root, spread
+from millrace.session import path_exists, scratch_path, shared_root, shuffle_partitions, size_shuffles, spread
 from millrace.sources import files
 from tests.conftest import plan_text, rows
 
@@ -84,6 +84,32 @@ def test_spread_leaves_large_frames_alone(spark, tables, monkeypatch):
     assert spread(tables.orders).rdd.getNumPartitions() == tables.orders.rdd.getNumPartitions()
 
 
+def test_shuffles_are_sized_by_input_and_never_lowered(spark):
+    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    before = shuffle_partitions(spark)
+    size_shuffles(spark, 1)
+    assert shuffle_partitions(spark) == before
+    size_shuffles(spark, 100 * 10**12)
+    assert shuffle_partitions(spark) == 50_000
+    spark.conf.unset(key)
+    assert shuffle_partitions(spark) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_cluster_needs_a_shared_folder(spark, monkeypatch):
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        master, applicationId = "yarn", "app"
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_root(Session())
+
+
 # --- layout ------------------------------------------------------------------------
 
 

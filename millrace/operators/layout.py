@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from millrace.session import path_exists
 from millrace.sources.files import read_table, write_table
@@ -275,16 +275,14 @@ def choose_partition_column(usage: DataFrame, sizes: DataFrame) -> DataFrame:
 def partition_profile(df: DataFrame, key: str) -> DataFrame:
     """Rows per value of a key, with its share of all rows and the skew against the mean."""
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n_rows"))
-    totals = counts.agg(
-        F.sum("n_rows").alias("__all"), F.count(F.lit(1)).alias("n_values")
-    )  # one row
-    joined = counts.join(F.broadcast(totals))
+    one = counts.agg(F.struct(F.sum("n_rows").alias("n_rows"), F.count(F.lit(1)).alias("n_values"))).scalar()
+    joined = counts.withColumn("__all", one)
     return joined.select(
         key,
         "n_rows",
-        "n_values",
-        (F.col("n_rows") / F.col("__all")).alias("share"),
-        (F.col("n_rows") * F.col("n_values") / F.col("__all")).alias("skew"),
+        F.col("__all.n_values").alias("n_values"),
+        (F.col("n_rows") / F.col("__all.n_rows")).alias("share"),
+        (F.col("n_rows") * F.col("__all.n_values") / F.col("__all.n_rows")).alias("skew"),
     )
 
 

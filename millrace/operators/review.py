@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from millrace.operators.corpus import has, occurrences
+from millrace.operators.corpus import has
 from millrace.session import spread
 
 # --- fixed values: (rule, category, severity, pattern; case is ignored) -------------

@@ -79,16 +79,21 @@ def name_marks_partition(column: str | Column) -> Column:
 
 
 def partition_candidates(df: DataFrame, margin: float = 0.1) -> DataFrame:
-    """(field, by_name, by_values): columns that could serve as partition keys.
+    """(field, by_name, by_values): columns that could serve as partition keys."""
+    _, found = _candidates(df, margin)
+    return df.sparkSession.createDataFrame(found, "field string, by_name boolean, by_values boolean")
+
+
+def _candidates(df: DataFrame, margin: float = 0.1) -> tuple[int, list[tuple]]:
+    """Number of rows, and (field, by_name, by_values) per column.
 
     One pass estimates every column's distinct values by a sketch with 1.6 % standard
     error; columns whose share lies within ``margin`` (six such errors) of the limit are
-    counted exactly. The result has one row per column.
+    counted exactly.
     """
     columns = df.columns
     sketch = df.agg(
         F.count(F.lit(1)).alias("__rows"),
-        *[F.count(c).alias(f"n_{c}") for c in columns],
         *[F.hll_sketch_estimate(F.hll_sketch_agg(F.when(F.col(c).isNotNull(), F.xxhash64(c)), F.lit(12))).alias(f"d_{c}") for c in columns],
     ).first()
     rows = sketch["__rows"]
@@ -96,11 +101,10 @@ def partition_candidates(df: DataFrame, margin: float = 0.1) -> DataFrame:
     near = [c for c in columns if abs(share[c] - MAX_DISTINCT_SHARE) <= MAX_DISTINCT_SHARE * margin]
     for c in near:
         share[c] = df.select(c).distinct().where(F.col(c).isNotNull()).count() / rows
-    out = [
+    return rows, [
         (c, bool(re.search(PARTITION_NAME, c.lower())), rows > MIN_ROWS and share[c] < MAX_DISTINCT_SHARE)
         for c in columns
     ]
-    return df.sparkSession.createDataFrame(out, "field string, by_name boolean, by_values boolean")
 
 
 def hive_type(data_type) -> str:
@@ -110,17 +114,11 @@ def hive_type(data_type) -> str:
 
 def table_fields(spark: SparkSession, name: str, df: DataFrame) -> DataFrame:
     """(table_name, field, type, is_partition, n_rows), one row per column of a table."""
-    types = spark.createDataFrame(
-        [(f.name, hive_type(f.dataType)) for f in df.schema.fields], "field string, type string"
-    )
-    keys = partition_candidates(df)
-    rows = df.count()  # from file footers
-    return types.join(keys, "field").select(
-        F.lit(name).alias("table_name"),
-        "field",
-        "type",
-        (F.col("by_name") | F.col("by_values")).alias("is_partition"),
-        F.lit(rows).cast("bigint").alias("n_rows"),
+    n_rows, found = _candidates(df)
+    types = {f.name: hive_type(f.dataType) for f in df.schema.fields}
+    rows = [(name, c, types[c], by_name or by_values, n_rows) for c, by_name, by_values in found]
+    return spark.createDataFrame(
+        rows, "table_name string, field string, type string, is_partition boolean, n_rows bigint"
     )
 
 

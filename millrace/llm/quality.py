@@ -167,8 +167,11 @@ def kneser_ney(counts: DataFrame, order: int = ORDER, max_grams: int = MAX_GRAMS
         grams = table[k].where(F.col("n") > 0)
         of = F.col("n")
         stats = grams.groupBy("lang").agg(*[F.sum((of == c).cast("double")).alias(f"n{c}") for c in (1, 2, 3, 4)])
-        y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
-        d = {c: F.coalesce(F.least(F.greatest(F.lit(c) - (c + 1) * y * F.col(f"n{c + 1}") / F.col(f"n{c}"), F.lit(0.1)), F.lit(c - 0.1)), F.lit(0.5)) for c in (1, 2, 3)}
+        y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
+        d = {}
+        for c in (1, 2, 3):  # Chen and Goodman's estimates; half a count where a count of counts is zero
+            estimate = c - (c + 1) * y * F.try_divide(F.col(f"n{c + 1}"), F.col(f"n{c}"))
+            d[c] = F.when(estimate.isNull(), 0.5).otherwise(F.least(F.greatest(estimate, F.lit(0.1)), F.lit(c - 0.1)))
         discounts = stats.select("lang", *[d[c].alias(f"d{c}") for c in (1, 2, 3)])
         cut = F.when(of == 1, F.col("d1")).when(of == 2, F.col("d2")).otherwise(F.col("d3"))
         rows = grams.join(F.broadcast(discounts), "lang")  # one row per language: at most LANGUAGES + 1

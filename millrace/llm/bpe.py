@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.common import by_slice, id_and_text
-from millrace.session import scratch_path
+from millrace.session import materialize, scratch_path
 
 LEXICON_WORDS = 30_000  # most frequent words compiled; a parameter of speed only
 LEXICON_WORD_BYTES = 64  # longer words are left to the merges, which bounds the lexicon at about 10 MB
@@ -94,7 +94,12 @@ class Tokenizer:
     def words(self, chunk: str):
         """Byte strings of a chunk's words, and ids of the special tokens in it."""
         for part in self.splitter.split(chunk) if "<|" in chunk else (chunk,):
-            if part in self.special:
+            if part.isascii() and part.isalpha():  # one word of plain letters
+                yield part.lower().encode()
+            elif part.isascii() and part[:-1].isalpha() and not part[-1].isalnum():  # with one mark behind it
+                yield part[:-1].lower().encode()
+                yield part[-1].encode()
+            elif part in self.special:
                 yield self.special[part]
             elif _LATIN.fullmatch(part):
                 for w in self.pattern.findall(self.normalise(part)):
@@ -343,10 +348,18 @@ def count_words(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
 
 def write_lexicon(docs: DataFrame, tokenizer_path: str, size: int = LEXICON_WORDS) -> str:
-    """Compile the corpus's ``size`` most frequent words and write the file to the shared folder."""
+    """Compile the corpus's most frequent words, ``size`` at most, and write the file to the shared folder."""
     spark = docs.sparkSession
-    counted = count_words(docs, tokenizer_path)
-    top = counted.orderBy(F.desc("n"), "word").limit(size).select("word").collect()  # ``size`` short words at most
+    counted = materialize(count_words(docs, tokenizer_path), "word-counts")
+    # counts in steps of an eighth of a power of two: at most 512 rows tell from which step on to compile
+    step = F.floor(F.log2("n") * 8).cast("int")
+    room, least = size, None
+    for row in sorted(counted.groupBy(step.alias("step")).count().collect(), reverse=True):
+        room -= row["count"]
+        if room < 0:
+            break
+        least = row.step
+    top = [] if least is None else counted.where(step >= least).select("word").collect()  # ``size`` short words at most
     tokenizer = Tokenizer(tokenizer_path)
     content = pack_arrays(compile_lexicon({bytes(r.word): tokenizer.merge(bytes(r.word)) for r in top if r.word}))
     path = scratch_path(spark, "lexicon")
@@ -367,18 +380,24 @@ def _encoder(tokenizer_path: str, lexicon_file: str):
     tokenizer = Tokenizer(tokenizer_path)
     lexicon = Lexicon(SparkFiles.get(lexicon_file))
     cache: dict[str, bytes] = {}
-    known: dict[bytes, bytes] = {}
+    specials = {n: n.to_bytes(4, "little") for n in tokenizer.special.values()}
+    known: dict = dict(specials)
 
     def learn(chunks) -> None:
         """Ids of all new words of a slice at once: from the lexicon, or else merged."""
         parts = {c: list(tokenizer.words(c)) for c in chunks}
-        words = list({w for p in parts.values() for w in p if isinstance(w, bytes) and w not in known})
-        found = lexicon.find(words)
-        unseen = [w for w, ids in zip(words, found, strict=True) if ids is None]
-        known.update((w, ids.tobytes()) for w, ids in zip(words, found, strict=True) if ids is not None)
-        known.update((w, ids.astype("<u4").tobytes()) for w, ids in zip(unseen, tokenizer.merge_many(unseen), strict=True))
+        words = list(set().union(*parts.values()).difference(known))
+        unseen = []
+        for w, ids in zip(words, lexicon.find(words), strict=True):
+            if ids is None:
+                unseen.append(w)
+            else:
+                known[w] = ids.tobytes()
+        for w, ids in zip(unseen, tokenizer.merge_many(unseen), strict=True):
+            known[w] = ids.astype("<u4").tobytes()
+        get = known.__getitem__
         for c, p in parts.items():
-            cache[c] = b"".join(known[w] if isinstance(w, bytes) else w.to_bytes(4, "little") for w in p)
+            cache[c] = get(p[0]) if len(p) == 1 else b"".join(map(get, p))
 
     def encode(texts: list[str]) -> list[bytes]:
         split = [tokenizer.chunks(t) for t in texts]
@@ -386,6 +405,7 @@ def _encoder(tokenizer_path: str, lexicon_file: str):
             cache.clear()
         if len(known) > CACHE:
             known.clear()
+            known.update(specials)
         new = set().union(*split).difference(cache)
         if new:
             learn(new)

@@ -42,7 +42,7 @@ from millrace.session import materialize
 LENGTH = 200
 GRAM = 32
 CROWD = 4096  # different runs of one gram; above, its strings are grouped by Spark one by one
-STRINGS = 2_000_000  # suffixes sorted together in a task, unless one gram has more
+STRINGS = 500_000  # suffixes sorted together in a task, unless one gram has more
 
 KEY = "doc_key bigint, doc_check int"
 

@@ -3,7 +3,8 @@
 The model is an interpolated modified Kneser-Ney model over the characters of words (a word begins
 with ``^`` and ends with ``$``), counted over all documents in Spark, one per language. Its
 probabilities and back-off weights are stored in sorted hash arrays; a word is scored once per task
-and remembered. A document's perplexity is per character; a language's documents give robust bands
+and remembered. A document that is far less likely than its language's corpus as a whole may be written
+in several languages: each of its words is then scored by the language it fits best. A document's perplexity is per character; a language's documents give robust bands
 (median and median deviation of the logarithm), and a document outside its language's bands goes.
 
 What is kept of the corpus: n-grams seen at least ``total / MAX_GRAMS`` times per language, so no
@@ -30,7 +31,7 @@ from millrace.llm.common import by_slice, slices_of
 from millrace.session import materialize
 
 ORDER = 4
-MAX_GRAMS = 1 << 20  # 12 bytes each: at most 12 MB per language and order
+MAX_GRAMS = 1 << 18  # 16 bytes each: at most 4 MB per language and order, 151 MB in all
 LANGUAGES = 8
 MIN_WORDS = 50
 MIN_DOCS = 30
@@ -161,47 +162,43 @@ def kneser_ney(counts: DataFrame, order: int = ORDER, max_grams: int = MAX_GRAMS
     for k in range(order - 1, 0, -1):
         tail = table[k + 1].select("lang", F.substring("gram", 2, k).alias("gram")).groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n"))
         begins = opening.where(F.length("gram") == k)
-        table[k] = tail.unionByName(begins).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    lower, out = None, []
+        table[k] = materialize(tail.unionByName(begins).groupBy("lang", "gram").agg(F.sum("n").alias("n")), f"counts-{k}")
+    lower, probable, weights = None, {}, {}
     for k in range(1, order + 1):
-        grams = table[k].where(F.col("n") > 0)
-        of = F.col("n")
-        stats = grams.groupBy("lang").agg(*[F.sum((of == c).cast("double")).alias(f"n{c}") for c in (1, 2, 3, 4)])
+        grams, of = table[k], F.col("n")
+        stats = grams.groupBy("lang").agg(
+            *[F.sum((of == c).cast("double")).alias(f"n{c}") for c in (1, 2, 3, 4)], F.count(F.lit(1)).alias("letters")
+        )
         y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
         d = {}
         for c in (1, 2, 3):  # Chen and Goodman's estimates; half a count where a count of counts is zero
             estimate = c - (c + 1) * y * F.try_divide(F.col(f"n{c + 1}"), F.col(f"n{c}"))
             d[c] = F.when(estimate.isNull(), 0.5).otherwise(F.least(F.greatest(estimate, F.lit(0.1)), F.lit(c - 0.1)))
-        discounts = stats.select("lang", *[d[c].alias(f"d{c}") for c in (1, 2, 3)])
+        discounts = stats.select("lang", "letters", *[d[c].alias(f"d{c}") for c in (1, 2, 3)])
         cut = F.when(of == 1, F.col("d1")).when(of == 2, F.col("d2")).otherwise(F.col("d3"))
         rows = grams.join(F.broadcast(discounts), "lang")  # one row per language: at most LANGUAGES + 1
-        rows = rows.withColumns({"context": F.substring("gram", 1, k - 1), "kept": of - cut, "cut": cut})
-        sums = rows.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum("cut").alias("freed"))
-        rows = rows.join(sums, ["lang", "context"])
+        rows = rows.withColumns({"context": F.substring("gram", 1, k - 1), "cut": cut})
+        sums = rows.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum("cut").alias("freed"), F.first("letters").alias("letters"))
+        sums = materialize(sums, f"contexts-{k}")
+        weights[k - 1] = sums.select("lang", F.col("context").alias("gram"), (F.col("freed") / F.col("total")).alias("bow"))
+        rows = rows.drop("letters").join(sums, ["lang", "context"])
+        own = (F.col("n") - F.col("cut")) / F.col("total")
         if lower is None:
-            letters = sums.join(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("letters")), "lang")
-            uniform = letters.select("lang", (F.col("freed") / F.col("total") / (F.col("letters") + 1)).alias("u"))
-            rows = rows.join(F.broadcast(uniform), "lang").select("lang", "gram", "n", (F.col("kept") / F.col("total") + F.col("u")).alias("p"))
-            out.append(uniform.select("lang", F.lit("").alias("gram"), F.lit(1).cast("bigint").alias("n"), F.col("u").alias("p")))
+            uniform = F.col("freed") / F.col("total") / (F.col("letters") + 1)
+            rows = rows.select("lang", "gram", "n", (own + uniform).alias("p"))
+            probable[0] = sums.select("lang", F.lit("").alias("gram"), F.col("total").alias("n"), uniform.alias("p"))
         else:
-            tail_p = lower.select("lang", F.col("gram").alias("tail"), F.col("p").alias("low"))
-            rows = rows.withColumn("tail", F.substring("gram", 2, k - 1)).join(tail_p, ["lang", "tail"])
-            rows = rows.select("lang", "gram", "n", (F.col("kept") / F.col("total") + F.col("freed") / F.col("total") * F.col("low")).alias("p"))
-        rows = materialize(rows, f"order-{k}")
-        bow = sums.where(F.col("context") != "").select("lang", F.col("context").alias("gram"), (F.col("freed") / F.col("total")).alias("bow"))
-        if k > 1:
-            out[-1] = out[-1].join(bow, ["lang", "gram"], "left")
-        else:
-            out[-1] = out[-1].withColumn("bow", F.lit(1.0))
-        lower = rows
-        out.append(rows)
-    out[-1] = out[-1].withColumn("bow", F.lit(None).cast("double"))
-    every = out[0]
-    for o in out[1:]:
-        every = every.unionByName(o)
-    total = every.groupBy("lang", F.length("gram").alias("k")).agg((F.sum("n") / max_grams).alias("least"))
-    kept = every.withColumn("k", F.length("gram")).join(F.broadcast(total), ["lang", "k"]).where(F.col("n") >= F.col("least"))
-    return kept.select("lang", "gram", F.col("p").cast("float").alias("p"), F.coalesce("bow", F.lit(1.0)).cast("float").alias("bow"))
+            shorter = lower.select("lang", F.col("gram").alias("tail"), F.col("p").alias("low"))
+            rows = rows.withColumn("tail", F.substring("gram", 2, k - 1)).join(shorter, ["lang", "tail"])
+            rows = rows.select("lang", "gram", "n", (own + F.col("freed") / F.col("total") * F.col("low")).alias("p"))
+        probable[k] = lower = materialize(rows, f"order-{k}")
+    kept = None
+    for k, rows in probable.items():
+        least = rows.groupBy("lang").agg((F.sum("n") / max_grams).alias("least"))
+        rows = rows.join(F.broadcast(least), "lang").where(F.col("n") >= F.col("least")).drop("least")
+        rows = rows.join(weights[k], ["lang", "gram"], "left") if 0 < k < order else rows.withColumn("bow", F.lit(1.0))
+        kept = rows if kept is None else kept.unionByName(rows)
+    return kept.select("lang", "gram", "n", F.col("p").cast("float").alias("p"), F.coalesce("bow", F.lit(1.0)).cast("float").alias("bow"))
 
 
 def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -221,24 +218,22 @@ def _push(h, letters):
 class Model:
     """Sorted hash arrays per order: 64-bit keys, log probabilities, log back-off weights."""
 
-    def __init__(self, rows, order: int = ORDER):
-        """``rows``: (lang, gram, p, bow)."""
-        self.order, self.seeds = order, {}
-        found: dict[int, list] = {k: [] for k in range(order + 1)}
-        for lang, gram, p, bow in rows:
-            if lang not in self.seeds:
-                self.seeds[lang] = np.uint64(xxhash.xxh64_intdigest(lang.encode()))
-            found[len(gram)].append((lang, gram, p, bow))
-        self.arrays = {}
-        for k, entries in found.items():
-            keys = np.array([self.seeds[lang] for lang, *_ in entries], np.uint64)
-            flat = np.frombuffer("".join(g for _, g, *_ in entries).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    def __init__(self, rows: pa.Table, expected: dict[str, float], order: int = ORDER):
+        """``rows``: (lang, gram, p, bow). ``expected``: nats per letter over the corpus, by language."""
+        import pyarrow.compute as pc
+
+        self.order, self.arrays, self.expected = order, {}, expected
+        self.seeds = {lang: np.uint64(xxhash.xxh64_intdigest(lang.encode())) for lang in pc.unique(rows.column("lang")).to_pylist()}
+        length = pc.utf8_length(rows.column("gram"))
+        for k in range(order + 1):
+            part = rows.filter(pc.equal(length, k))
+            keys = np.array([self.seeds[lang] for lang in part.column("lang").to_pylist()], np.uint64)
+            flat = np.frombuffer("".join(part.column("gram").to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
             for j in range(k):
                 keys = _push(keys, flat[j::k])
-            order_ = np.argsort(keys)
-            p = np.log(np.array([e[2] for e in entries], np.float64)).astype(np.float32)
-            bow = np.log(np.maximum([e[3] for e in entries], 1e-9)).astype(np.float32)
-            self.arrays[k] = (keys[order_], p[order_], bow[order_])
+            sorted_ = np.argsort(keys)
+            p, bow = (np.asarray(part.column(c)).astype(np.float64) for c in ("p", "bow"))
+            self.arrays[k] = (keys[sorted_], np.log(p).astype(np.float32)[sorted_], np.log(np.maximum(bow, 1e-9)).astype(np.float32)[sorted_])
 
     def _look(self, k, keys):
         table, p, bow = self.arrays[k]
@@ -284,8 +279,12 @@ class Model:
 def train(docs: DataFrame, langs: list[str] | None = None) -> tuple[list[str], Model]:
     langs = languages(docs) if langs is None else langs
     counts = materialize(gram_counts(_inputs(docs, langs)), "grams")
-    rows = kneser_ney(counts).toArrow()  # at most MAX_GRAMS per language and order
-    return langs, Model(zip(*(rows.column(c).to_pylist() for c in ("lang", "gram", "p", "bow")), strict=True))
+    model = materialize(kneser_ney(counts), "model")
+    # every count of the input is one scored letter; grams cut from the model are left out
+    events = counts.join(model.drop("n"), ["lang", "gram"]).groupBy("lang")
+    expected = events.agg((F.sum(-F.col("n") * F.log("p")) / F.sum("n")).alias("nats")).collect()  # a row per language
+    rows = model.select("lang", "gram", "p", "bow").toArrow()  # at most MAX_GRAMS rows per language and order
+    return langs, Model(rows, {r.lang: r.nats for r in expected})
 
 
 # --- scores and verdicts -----------------------------------------------------------------------
@@ -300,13 +299,6 @@ class _Scorer:
     def __init__(self, model: Model):
         self.model, self.known = model, {}
 
-    def log_perplexity(self, lang: str, words: list[str]) -> float | None:
-        """Mean negative log probability per letter; None where there is nothing to score."""
-        if not words:
-            return None
-        known = self.known.setdefault(lang, {})
-        return -sum(map(known.__getitem__, words)) / (sum(map(len, words)) + len(words))
-
     def learn(self, lang: str, words: set[str]) -> None:
         known = self.known.setdefault(lang, {})
         if len(known) > HELD:
@@ -314,15 +306,31 @@ class _Scorer:
         new = list(words.difference(known))
         known.update(zip(new, self.model.score(lang, new).tolist(), strict=True))
 
+    def log_perplexities(self, langs: list[str], split: list[list[str]]) -> list[float | None]:
+        """Mean negative log probability per letter of each text; None where there is nothing to score."""
+        for lang in set(langs):
+            self.learn(lang, set().union(*(w for w, at in zip(split, langs, strict=True) if at == lang)))
+        letters = [sum(map(len, w)) + len(w) for w in split]
+        out = [
+            -sum(map(self.known[lang].__getitem__, w)) / n if n else None
+            for w, lang, n in zip(split, langs, letters, strict=True)
+        ]
+        odd = [i for i, (x, lang) in enumerate(zip(out, langs, strict=True)) if x is not None and x > self.model.expected.get(lang, math.inf) + LEAST_BAND]
+        if odd:
+            words = set().union(*(split[i] for i in odd))
+            every = sorted(self.model.seeds)
+            for lang in every:
+                self.learn(lang, words)
+            best = dict(zip(words, map(max, *([self.known[lang][w] for w in words] for lang in every)) if len(every) > 1 else (self.known[every[0]][w] for w in words), strict=True))
+            for i in odd:
+                out[i] = -sum(map(best.__getitem__, split[i])) / letters[i]
+        return out
+
 
 def _measure(scorer: _Scorer, langs, texts) -> list[dict]:
     split = [words_of(t) for t in texts]
-    for lang in set(langs):
-        scorer.learn(lang, set().union(*(w for w, at in zip(split, langs, strict=True) if at == lang)))
-    return [
-        base_counts(text, words) | {"log_ppl": scorer.log_perplexity(lang, words)}
-        for text, words, lang in zip(texts, split, langs, strict=True)
-    ]
+    scores = scorer.log_perplexities(langs, split)
+    return [base_counts(text, words) | {"log_ppl": x} for text, words, x in zip(texts, split, scores, strict=True)]
 
 
 def measure(docs: DataFrame, langs: list[str], model: Model) -> DataFrame:

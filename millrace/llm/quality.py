@@ -35,8 +35,11 @@ MAX_GRAMS = 1 << 18  # 16 bytes each: at most 4 MB per language and order, 151 M
 LANGUAGES = 8
 MIN_WORDS = 50
 MIN_DOCS = 30
-BAND = 8.0  # median deviations; the band also never gets closer than LEAST_BAND to the median
-LEAST_BAND = 0.35  # in natural logarithms of perplexity
+# Bands in median deviations of the logarithm, and at least so many natural logarithms wide. Clean
+# texts scatter more upwards (names, numbers, quotations) than downwards (runs of stock phrases).
+UPPER_BAND, LEAST_UPPER = 20.0, 0.5
+LOWER_BAND, LEAST_LOWER = 10.0, 0.1
+MIXED = 0.25  # nats a letter above its language's corpus from which a text is scored in all languages
 HELD = 300_000  # distinct n-grams or words a task holds before it hands them on
 SYMBOLS = "#*$%&|<>"
 
@@ -315,7 +318,7 @@ class _Scorer:
             -sum(map(self.known[lang].__getitem__, w)) / n if n else None
             for w, lang, n in zip(split, langs, letters, strict=True)
         ]
-        odd = [i for i, (x, lang) in enumerate(zip(out, langs, strict=True)) if x is not None and x > self.model.expected.get(lang, math.inf) + LEAST_BAND]
+        odd = [i for i, (x, lang) in enumerate(zip(out, langs, strict=True)) if x is not None and x > self.model.expected.get(lang, math.inf) + MIXED]
         if odd:
             words = set().union(*(split[i] for i in odd))
             every = sorted(self.model.seeds)
@@ -357,8 +360,9 @@ def bands(measured: DataFrame) -> DataFrame:
     middle = good.groupBy("lang").agg(F.percentile_approx("log_ppl", 0.5, 10_000).alias("median"), F.count(F.lit(1)).alias("n"))
     off = good.join(F.broadcast(middle), "lang").groupBy("lang", "median", "n")
     spread = off.agg(F.percentile_approx(F.abs(F.col("log_ppl") - F.col("median")), 0.5, 10_000).alias("mad"))
-    width = F.greatest(F.lit(BAND) * F.col("mad"), F.lit(LEAST_BAND))
-    return spread.where(F.col("n") >= MIN_DOCS).select("lang", (F.col("median") - width).alias("low"), (F.col("median") + width).alias("high"))
+    below = F.greatest(LOWER_BAND * F.col("mad"), F.lit(LEAST_LOWER))
+    above = F.greatest(UPPER_BAND * F.col("mad"), F.lit(LEAST_UPPER))
+    return spread.where(F.col("n") >= MIN_DOCS).select("lang", (F.col("median") - below).alias("low"), (F.col("median") + above).alias("high"))
 
 
 def verdicts(docs: DataFrame) -> DataFrame:

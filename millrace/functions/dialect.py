@@ -87,6 +87,8 @@ def regexp_replace(column, pattern: str, replacement: str, flags: str = "") -> C
     java = re.sub(r"\$", r"\\$", replacement)
     shift = 0 if "g" in flags else 1
     java = re.sub(r"\\([1-9])", lambda m: f"${int(m.group(1)) + shift}", java)
+    # the group in front moves the pattern's own back-references as well
+    pattern = re.sub(r"(?<!\\)((?:\\\\)*)\\([1-9])", lambda m: f"{m.group(1)}\\{int(m.group(2)) + shift}", pattern)
     case = "(?i)" if "i" in flags else ""
     if shift == 0:
         return F.regexp_replace(_col(column), case + pattern, java)
@@ -106,8 +108,12 @@ def conv(column, from_base: int, to_base: int) -> Column:
 # --- numbers -----------------------------------------------------------------------
 
 
-def round_(column, digits: int = 0, precision: int = 18, scale: int = 6) -> Column:
-    """ROUND half away from zero, on decimals so that a tie is a tie."""
+def round_(column, digits: int = 0, precision: int = 38, scale: int | None = None) -> Column:
+    """ROUND half away from zero, on decimals so that a tie is a tie.
+
+    Keeps 20 digits before the point, and at least the digits asked for behind it.
+    """
+    scale = max(18, min(digits + 1, 37)) if scale is None else scale
     return F.round(_col(column).cast(f"decimal({precision},{scale})"), digits)
 
 
@@ -180,11 +186,35 @@ def to_char_date(column, pattern: str) -> Column:
     return F.date_format(_col(column), date_pattern(pattern))
 
 
-def to_char_number(column, pattern: str, precision: int = 18, scale: int = 2) -> Column:
-    """TO_CHAR(number, '999,990.00') without the leading blanks."""
+NUMBER_PATTERN = re.compile(r"[09.,$SGDLMI ]+", re.IGNORECASE)
+
+
+def to_char_number(column, pattern: str, precision: int = 38, scale: int | None = None) -> Column:
+    """TO_CHAR(number, '999,990.00') without the leading blanks, rounded to the pattern's decimals."""
+    if scale is None:
+        scale = len(re.findall("[09]", re.split("[.D]", pattern.upper())[1])) if re.search("[.D]", pattern.upper()) else 0
     return F.trim(F.to_char(_col(column).cast(f"decimal({precision},{scale})"), F.lit(pattern)))
 
 
+def to_char(column, pattern: str) -> Column:
+    """TO_CHAR of a number or of a date, as the pattern says."""
+    digits = re.search("[09]", pattern) and NUMBER_PATTERN.fullmatch(pattern)
+    return to_char_number(column, pattern) if digits else to_char_date(column, pattern)
+
+
+def trunc(column, how: str | int = "DD") -> Column:
+    """Oracle TRUNC: of a number if ``how`` is a number of digits, else of a date."""
+    if isinstance(how, str):
+        return trunc_date(column, how)
+    x = _col(column).cast("decimal(38,18)")
+    if how >= 0:  # towards zero: cut the digits of the decimal's text
+        whole = F.regexp_extract(x.cast("string"), rf"^-?\d+(?:\.\d{{0,{how}}})?", 0) if how else F.regexp_extract(x.cast("string"), r"^-?\d+", 0)
+        return whole.cast("decimal(38,18)")
+    step = F.lit(10 ** -how).cast("decimal(38,0)")
+    whole = F.regexp_extract(x.cast("string"), r"^-?\d+", 0).cast("decimal(38,0)")
+    return (whole - whole % step).cast("decimal(38,18)")
+
+
 def to_date(column, pattern: str) -> Column:
     return F.to_date(_col(column), date_pattern(pattern))
 
@@ -270,14 +300,14 @@ COMMON = {
 }
 DIALECTS = {
     "spark": {},
-    "postgres": {"regexp_replace": regexp_replace, "to_char": to_char_date},
+    "postgres": {"regexp_replace": regexp_replace, "to_char": to_char},
     "oracle": {
         "nvl": coalesce,
         "nvl2": nvl2,
         "decode": decode,
         "sysdate": now,
-        "trunc": trunc_date,
-        "to_char": to_char_date,
+        "trunc": trunc,
+        "to_char": to_char,
     },
     "redshift": {
         "nvl": coalesce,

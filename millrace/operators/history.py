@@ -22,9 +22,9 @@ def mean(column: str | Column) -> Column:
 
 
 def statement_key(text: str | Column) -> Column:
-    """Key of a statement: md5 of its trimmed lower-case text."""
+    """Key of a statement: md5 of its lower-case text without white space at either end."""
     text = F.col(text) if isinstance(text, str) else text
-    return F.md5(F.lower(F.trim(text)))
+    return F.md5(F.lower(F.regexp_replace(text, r"(?U)^\s+|\s+$", "")))
 
 
 def store_results(history: DataFrame, batch: DataFrame, text: str, order: Order) -> DataFrame:

@@ -6,9 +6,7 @@ import time
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
-from millrace.session import path_exists
-
-START_MARK = "1970-01-01 00:00:00"
+from millrace.session import materialize, path_exists
 
 
 class MarkStore:
@@ -36,7 +34,7 @@ class MarkStore:
             .first()
         )
 
-    def get(self, job: str, default: str = START_MARK) -> str:
+    def get(self, job: str, default: str | None = None) -> str | None:
         value = self._last(job)["value"]
         return default if value is None else value
 
@@ -93,17 +91,19 @@ def load_watermark(
     Rows equal to the mark are read again and dropped if an earlier batch has their key,
     so late rows that tie with the mark are not lost. The batch folder is overwritten, so a
     run that failed before the mark moved can be repeated. The new mark is observed while
-    the data is written. With ``log`` a row about the run is appended to that folder.
+    the data is written. Without a mark nothing is filtered. With ``log`` a row about the run is appended to that folder.
     """
     spark = source.sparkSession
     started = time.perf_counter()
     mark = marks.get(job)
     kind = source.schema[column].dataType
-    rows = source.where(F.col(column) >= F.lit(mark).cast(kind))
+    rows = source if mark is None else source.where(F.col(column) >= F.lit(mark).cast(kind))
     batch = marks.runs(job)
     if batch:
         at_last = spark.read.parquet(f"{path}/ties/batch={batch - 1}")
         rows = rows.join(at_last, key, "left_anti")
+    if transform:  # the keys at the new mark are taken from what was loaded, not read again
+        rows = materialize(rows, "loaded")
     seen = Observation()
     observed = rows.observe(
         seen, F.max(column).cast("string").alias("newest"), F.count(F.lit(1)).alias("rows")
@@ -116,7 +116,8 @@ def load_watermark(
     if not metrics["rows"]:
         return {"rows": 0, "mark": mark, "batch": batch}
     newest = metrics["newest"]
-    at_mark = rows.where(F.col(column) == F.lit(newest).cast(kind)).select(*key)
+    loaded = rows if transform else spark.read.schema(rows.schema).parquet(f"{path}/data/batch={batch}")
+    at_mark = loaded.where(F.col(column) == F.lit(newest).cast(kind)).select(*key)
     if newest == mark and batch:
         at_mark = at_mark.unionByName(at_last)
     at_mark.write.mode("overwrite").parquet(f"{path}/ties/batch={batch}")

@@ -91,7 +91,7 @@ def cdc_partition_upsert(t: Tables) -> DataFrame:
     cdc.upsert_partitions(
         t.spark, path, customer_changes(t), ["c_custkey"], NEWEST_FIRST, ["c_mktsegment"]
     )
-    return t.spark.read.parquet(path).select(*COLUMNS.split(", "))
+    return t.spark.read.schema(t.customer.schema).parquet(path).select(*COLUMNS.split(", "))
 
 
 @plan(

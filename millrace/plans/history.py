@@ -22,7 +22,7 @@ def _mean(x: str) -> str:
     return f"CAST(SUM(CAST({x} AS DECIMAL(18,2))) AS DOUBLE) / COUNT({x})"
 
 
-KEY = "md5(lower(trim(sql)))"
+KEY = r"md5(lower(regexp_replace(sql, '^\s+|\s+$', '', 'g')))"
 STORED = f"""
     SELECT * FROM (SELECT *, {KEY} AS statement_key, ROW_NUMBER() OVER (PARTITION BY {KEY} ORDER BY stmt_id DESC) AS rn
                    FROM ({SQL_CORPUS})) WHERE rn = 1

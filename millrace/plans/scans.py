@@ -73,7 +73,7 @@ def _round_trip(t: Tables, table: str, fmt: str, **options) -> DataFrame:
 
 @plan("scan_csv", f"SELECT {CUSTOMER} FROM customer")
 def scan_csv(t: Tables) -> DataFrame:
-    return _round_trip(t, "customer", "csv", multiLine=False)
+    return _round_trip(t, "customer", "csv")
 
 
 @plan("scan_json", "SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")
@@ -200,13 +200,14 @@ def write_table(t: Tables) -> DataFrame:
 def scan_text_corpus(t: Tables) -> DataFrame:
     path = scratch_path(t.spark, "corpus")
     t.documents.select("text").write.text(path)
-    found = files.scan_text_corpus(t.spark, path)
-    breaks = F.length("content") - F.length(F.replace("content", F.lit("\n"), F.lit("")))
-    return found.agg(
-        F.sum(F.length("content")).cast("bigint").alias("n_chars"),
-        F.sum(breaks).cast("bigint").alias("n_lines"),
-        F.count("error").cast("int").alias("n_errors"),
+    lines = files.scan_text_lines(t.spark, path)
+    # every file ends with a line break, so there are as many breaks as lines
+    by_line = lines.agg(
+        F.sum(F.length("line") + 1).cast("bigint").alias("n_chars"),
+        F.count(F.lit(1)).cast("bigint").alias("n_lines"),
     )
+    errors = files.scan_text_corpus(t.spark, path).agg(F.count("error").cast("int").alias("n_errors"))
+    return by_line.withColumn("n_errors", errors.scalar())
 
 
 @plan(

@@ -19,7 +19,6 @@ RUNTIME_CONF = {
 }
 
 BYTES_PER_SHUFFLE_PARTITION = 512 * 1024 * 1024  # of input; columns are pruned before a shuffle
-MAX_SHUFFLE_PARTITIONS = 50_000
 SMALL_SHARE = 4 * 1024 * 1024  # bytes per core that Spark does not split any further
 
 _local_roots: dict[str, str] = {}
@@ -95,7 +94,7 @@ def size_shuffles(spark: SparkSession, input_bytes: int) -> None:
     Only ever raises the number the session was given; adaptive execution merges what turns
     out too small.
     """
-    wanted = min(MAX_SHUFFLE_PARTITIONS, math.ceil(input_bytes / BYTES_PER_SHUFFLE_PARTITION))
+    wanted = math.ceil(input_bytes / BYTES_PER_SHUFFLE_PARTITION)
     if wanted > int(spark.conf.get("spark.sql.shuffle.partitions")):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(wanted))
 

@@ -15,7 +15,12 @@ EXTRA_FORMATS = ("avro", "delta")  # need a module that is not part of the Spark
 # Default write codec per format (fixed values).
 WRITE_CODEC = {"parquet": "snappy", "orc": "zlib", "csv": "gzip", "json": "gzip"}
 
-MAX_TEXT_FILE_BYTES = 100 * 1024 * 1024
+# CSV that comes back as it was written: quotes doubled, backslashes plain, line breaks and outer
+# blanks kept. A null is an empty field and an empty string a quoted one; the reader tells them
+# apart only if its mark for null is something else than the empty string.
+CSV_BOTH = {"header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+CSV_READ = {**CSV_BOTH, "multiLine": True, "nullValue": "\u0001", "emptyValue": ""}
+CSV_WRITE = {**CSV_BOTH, "nullValue": "", "emptyValue": '""', "escapeQuotes": True}
 
 
 class MissingFormat(RuntimeError):
@@ -50,7 +55,7 @@ def read_table(
     if schema is not None:
         reader = reader.schema(schema)
     if fmt == "csv":
-        reader = reader.option("header", True)
+        reader = reader.options(**CSV_READ)
         if schema is None:
             reader = reader.option("inferSchema", True)
     if fmt == "json":
@@ -77,7 +82,7 @@ def write_table(
     if codec:
         writer = writer.option("compression", codec)
     if fmt == "csv":
-        writer = writer.option("header", True)
+        writer = writer.options(**CSV_WRITE)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     with _named_if_missing(fmt):
@@ -126,11 +131,12 @@ def scan_text_corpus(
     spark: SparkSession,
     path: str,
     pattern: str = "*.{sql,txt}",
-    max_bytes: int = MAX_TEXT_FILE_BYTES,
+    max_bytes: int | None = None,
 ) -> DataFrame:
     """One row per text file below ``path``: (file_path, bytes, content, error).
 
-    A file above ``max_bytes`` keeps its row, with an error in place of the content.
+    A file is one value; for files too large for that use ``scan_text_lines``. With
+    ``max_bytes`` a larger file keeps its row, with an error in place of the content.
     Undecodable bytes and byte order marks are left out of the text.
     """
     files = (
@@ -139,7 +145,7 @@ def scan_text_corpus(
         .option("pathGlobFilter", pattern)
         .load(path)
     )
-    small = F.col("length") <= max_bytes
+    small = F.lit(True) if max_bytes is None else F.col("length") <= max_bytes
     # a bad byte becomes U+FFFD, which is then left out together with the byte order mark
     text = F.regexp_replace(
         F.make_valid_utf8(F.col("content").cast("string")), "[\\uFFFD\\uFEFF]", ""
@@ -159,6 +165,21 @@ def scan_text_corpus(
     return wanted.unionByName(too_large)
 
 
+def scan_text_lines(spark: SparkSession, path: str, pattern: str = "*.{sql,txt}") -> DataFrame:
+    """One row per line of the text files below ``path``: (file_path, split_start, line).
+
+    Files of any size are read by splits; ``split_start`` is the byte a line's split begins at.
+    """
+    lines = (
+        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path)
+    )
+    return lines.select(
+        F.col("_metadata.file_path").alias("file_path"),
+        F.col("_metadata.file_block_start").alias("split_start"),
+        F.col("value").alias("line"),
+    )
+
+
 def write_by_source(
     df: DataFrame, path: str, source: str = "source", stamp: Column | None = None
 ) -> str:

@@ -32,8 +32,8 @@ from millrace.session import materialize, scratch_path
 
 LEXICON_WORDS = 30_000  # most frequent words compiled; a parameter of speed only
 LEXICON_WORD_BYTES = 64  # longer words are left to the merges, which bounds the lexicon at about 10 MB
-CACHE = 200_000  # chunks a task remembers before it starts afresh
-COUNTED = 400_000  # distinct words a task counts before it hands them on
+CACHE = 75_000  # chunks a task remembers; twice as many until it forgets those not used again
+COUNTED = 150_000  # distinct words a task counts before it hands them on
 
 # what the normaliser takes for white space: Unicode's White_Space, as fixed by the standard
 _SPACES = regex.compile("[\t-\r \x85\xa0  -     　]+")
@@ -72,7 +72,7 @@ class Tokenizer:
         self.splitter = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
         letters = byte_letters()
         self.byte_of = {c: v for v, c in enumerate(letters)}
-        self.library = tokenizers.Tokenizer.from_file(path)
+        self.path, self._library = path, None
         self.inner = [self.vocab[c] for c in letters]
         self.final = [self.vocab[c + self.suffix] for c in letters]
         # the same merges as arrays: sorted pair keys, the rank of each, the id each rank makes
@@ -83,6 +83,13 @@ class Tokenizer:
         self.made = np.zeros(len(pairs), np.int32)
         self.made[[r for r, _ in self.ranks.values()]] = [n for _, n in self.ranks.values()]
 
+    @property
+    def library(self):
+        """The library's tokenizer, loaded for the first text beyond Latin letters."""
+        if self._library is None:
+            self._library = tokenizers.Tokenizer.from_file(self.path)
+        return self._library
+
     def normalise(self, text: str) -> str:
         """NFC and lower case letter by letter (a final sigma is not special)."""
         return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
@@ -380,6 +387,7 @@ def _encoder(tokenizer_path: str, lexicon_file: str):
     tokenizer = Tokenizer(tokenizer_path)
     lexicon = Lexicon(SparkFiles.get(lexicon_file))
     cache: dict[str, bytes] = {}
+    older: dict[str, bytes] = {}
     specials = {n: n.to_bytes(4, "little") for n in tokenizer.special.values()}
     known: dict = dict(specials)
 
@@ -401,12 +409,14 @@ def _encoder(tokenizer_path: str, lexicon_file: str):
 
     def encode(texts: list[str]) -> list[bytes]:
         split = [tokenizer.chunks(t) for t in texts]
+        nonlocal cache, older, known
         if len(cache) > CACHE:
-            cache.clear()
+            cache, older = {}, cache
         if len(known) > CACHE:
-            known.clear()
-            known.update(specials)
+            known = dict(specials)
         new = set().union(*split).difference(cache)
+        cache.update((c, older[c]) for c in new if c in older)
+        new.difference_update(older)
         if new:
             learn(new)
         return [b"".join(map(cache.__getitem__, s)) for s in split]

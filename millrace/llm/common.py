@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from millrace.session import tune
 
-SLICE_CHARS = 4_000_000  # text handled at a time within a task; a longer text is a slice of its own
+SLICE_CHARS = 1_000_000  # text handled at a time within a task; a longer text is a slice of its own
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -36,7 +36,7 @@ SUPPORT = 3
 PART = 0.05
 SHARE = 0.8
 LEAST_BITS = 3.0
-HELD = 300_000
+HELD = 150_000
 
 KINDS = ["email", "ip", "card", "phone"]
 _TAIL = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")

@@ -40,7 +40,7 @@ MIN_DOCS = 30
 UPPER_BAND, LEAST_UPPER = 20.0, 0.5
 LOWER_BAND, LEAST_LOWER = 10.0, 0.1
 MIXED = 0.25  # nats a letter above its language's corpus from which a text is scored in all languages
-HELD = 300_000  # distinct n-grams or words a task holds before it hands them on
+HELD = 100_000  # distinct n-grams or words a task holds before it hands them on
 SYMBOLS = "#*$%&|<>"
 
 
@@ -379,7 +379,8 @@ def verdicts(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that pass, with all their columns, each judged in the pass that copies it."""
     langs, model = train(docs)
-    limits = {r.lang: (r.low, r.high) for r in bands(measure(docs, langs, model)).collect()}  # a row per language
+    measured = materialize(measure(docs, langs, model), "measured")  # read twice below, measured once
+    limits = {r.lang: (r.low, r.high) for r in bands(measured).collect()}  # a row per language
     shared, own = docs.sparkSession.sparkContext.broadcast(model), set(langs)
     lang_at, text_at = docs.columns.index("lang"), docs.columns.index("text")
 

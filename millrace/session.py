@@ -16,6 +16,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
+    # whole documents go to Python in these batches; ten thousand would be hundreds of MB
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
 }
 
 BYTES_PER_SHUFFLE_PARTITION = 512 * 1024 * 1024  # of input; columns are pruned before a shuffle

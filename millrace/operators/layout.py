@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from contextlib import contextmanager
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
@@ -309,12 +310,13 @@ def column_stats(df: DataFrame, name: str, columns: list[str] | None = None) ->
 
 
 def table_sizes(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
-    """(table_name, size_mb, n_rows) measured from files and footers."""
-    rows = [
-        (name, total_bytes(spark, path) / MB, spark.read.parquet(path).count())
-        for name, path in paths.items()
-    ]
-    return spark.createDataFrame(rows, "table_name string, size_mb double, n_rows bigint")
+    """(table_name, size_mb, n_rows) of all tables in one plan: sizes from the listing, rows from the footers."""
+
+    def measured(name: str, path: str) -> DataFrame:
+        size = F.lit(total_bytes(spark, path) / MB).alias("size_mb")
+        return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("table_name"), size, "n_rows")
+
+    return reduce(DataFrame.unionByName, [measured(name, path) for name, path in paths.items()])
 
 
 def filter_selectivity(df: DataFrame, predicates: dict[str, Column]) -> DataFrame:

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from millrace.operators.expressions import lenient_cast
-from millrace.session import spread
+from millrace.session import materialize, spread
 
 # Name parts that mark a likely partition column (fixed values).
 PARTITION_NAME_PARTS = ("year", "month", "day", "date", "partition", "bucket", "region")
@@ -80,31 +79,56 @@ def name_marks_partition(column: str | Column) -> Column:
 
 def partition_candidates(df: DataFrame, margin: float = 0.1) -> DataFrame:
     """(field, by_name, by_values): columns that could serve as partition keys."""
-    _, found = _candidates(df, margin)
-    return df.sparkSession.createDataFrame(found, "field string, by_name boolean, by_values boolean")
+    return column_profile({"": df}, margin).select("field", "by_name", "by_values")
 
 
-def _candidates(df: DataFrame, margin: float = 0.1) -> tuple[int, list[tuple]]:
-    """Number of rows, and (field, by_name, by_values) per column.
+def column_profile(tables: dict[str, DataFrame], margin: float = 0.1) -> DataFrame:
+    """(table_name, field, type, n_rows, by_name, by_values), one row per column of all tables.
 
-    One pass estimates every column's distinct values by a sketch with 1.6 % standard
-    error; columns whose share lies within ``margin`` (six such errors) of the limit are
-    counted exactly.
+    One plan estimates the distinct values of every column of every table by a sketch with
+    1.6 % standard error; columns whose share lies within ``margin`` (six such errors) of the
+    limit are counted exactly in a second plan. Only the names of those reach the driver.
     """
-    columns = df.columns
-    sketch = df.agg(
-        F.count(F.lit(1)).alias("__rows"),
-        *[F.hll_sketch_estimate(F.hll_sketch_agg(F.when(F.col(c).isNotNull(), F.xxhash64(c)), F.lit(12))).alias(f"d_{c}") for c in columns],
-    ).first()
-    rows = sketch["__rows"]
-    share = {c: (sketch[f"d_{c}"] / rows if rows else 0.0) for c in columns}
-    near = [c for c in columns if abs(share[c] - MAX_DISTINCT_SHARE) <= MAX_DISTINCT_SHARE * margin]
-    for c in near:
-        share[c] = df.select(c).distinct().where(F.col(c).isNotNull()).count() / rows
-    return rows, [
-        (c, bool(re.search(PARTITION_NAME, c.lower())), rows > MIN_ROWS and share[c] < MAX_DISTINCT_SHARE)
-        for c in columns
-    ]
+    found = materialize(union_fields([_sketched(name, df) for name, df in tables.items()]), "sketches")
+    limit = F.col("n_rows") * MAX_DISTINCT_SHARE
+    near = found.where(F.abs(F.col("n_values") - limit) <= limit * margin).select("table_name", "field").collect()
+    if near:
+        exact = [
+            tables[r.table_name].agg(F.count_distinct(f"`{r.field}`").alias("exact")).select(
+                F.lit(r.table_name).alias("table_name"), F.lit(r.field).alias("field"), "exact"
+            )
+            for r in near
+        ]
+        exact = F.broadcast(union_fields(exact))  # a row per column
+        found = found.join(exact, ["table_name", "field"], "left")
+        found = found.withColumn("n_values", F.coalesce("exact", "n_values"))
+    few = F.try_divide("n_values", "n_rows") < MAX_DISTINCT_SHARE
+    return found.select(
+        "table_name",
+        "field",
+        "type",
+        "n_rows",
+        name_marks_partition("field").alias("by_name"),
+        ((F.col("n_rows") > MIN_ROWS) & few).alias("by_values"),
+    )
+
+
+def _sketched(name: str, df: DataFrame) -> DataFrame:
+    """(table_name, n_rows, field, type, n_values) of one table in one pass; ``n_values`` is an estimate."""
+
+    def values(column: str) -> Column:
+        hashed = F.when(F.col(f"`{column}`").isNotNull(), F.xxhash64(f"`{column}`"))
+        return F.hll_sketch_estimate(F.hll_sketch_agg(hashed, F.lit(12)))
+
+    packed = df.agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        *[
+            F.struct(F.lit(f.name).alias("field"), F.lit(hive_type(f.dataType)).alias("type"), values(f.name).alias("n_values")).alias(f"s{i}")
+            for i, f in enumerate(df.schema.fields)
+        ],
+    )
+    one = F.explode(F.array(*[f"s{i}" for i in range(len(df.columns))])).alias("s")
+    return packed.select("n_rows", one).select(F.lit(name).alias("table_name"), "n_rows", "s.*")
 
 
 def hive_type(data_type) -> str:
@@ -112,14 +136,10 @@ def hive_type(data_type) -> str:
     return data_type.simpleString().replace("timestamp_ntz", "timestamp")
 
 
-def table_fields(spark: SparkSession, name: str, df: DataFrame) -> DataFrame:
-    """(table_name, field, type, is_partition, n_rows), one row per column of a table."""
-    n_rows, found = _candidates(df)
-    types = {f.name: hive_type(f.dataType) for f in df.schema.fields}
-    rows = [(name, c, types[c], by_name or by_values, n_rows) for c, by_name, by_values in found]
-    return spark.createDataFrame(
-        rows, "table_name string, field string, type string, is_partition boolean, n_rows bigint"
-    )
+def table_fields(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table_name, field, type, is_partition, n_rows), one row per column of all tables."""
+    either = (F.col("by_name") | F.col("by_values")).alias("is_partition")
+    return column_profile(tables).select("table_name", "field", "type", either, "n_rows")
 
 
 def schema_statistics(fields: DataFrame) -> DataFrame:

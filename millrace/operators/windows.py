@@ -18,9 +18,6 @@ from millrace.session import materialize, plan_bytes, shuffle_partitions
 
 HOT_ROWS = 5_000_000
 SLICE_BYTES = 256 * 1024 * 1024
-# At most this many groups take the sliced way. All others hold fewer rows than any of
-# them, hence less than 1/MAX_HOT_KEYS of the table, and go through the native window.
-MAX_HOT_KEYS = 10_000
 
 Order = list[tuple[str, bool]]  # (column, ascending)
 
@@ -44,18 +41,15 @@ def _renamed(df: DataFrame, columns: list[str], prefix: str) -> DataFrame:
 
 def split_hot(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS):
     """(cold rows, hot rows or None, number of hot rows)."""
-    counts = df.groupBy(*keys).count().where(F.col("count") >= hot_rows)
-    hot = counts.orderBy(F.desc("count"), *keys).limit(MAX_HOT_KEYS).collect()
-    if not hot:
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__count")).where(F.col("__count") >= hot_rows)
+    hot = materialize(counts, "hot-keys")
+    rows = hot.agg(F.sum("__count")).first()[0]
+    if not rows:
         return df, None, 0
-    marks = df.sparkSession.createDataFrame(hot, counts.schema).drop("count")
-    marks = F.broadcast(_renamed(marks, keys, "__h_"))  # at most MAX_HOT_KEYS rows
+    # at most rows / hot_rows keys; Spark broadcasts them where their files are small, else shuffles
+    marks = _renamed(hot.drop("__count"), keys, "__h_")
     match = null_safe(df, marks, keys, "__h_")
-    return (
-        df.join(marks, match, "left_anti"),
-        df.join(marks, match, "left_semi"),
-        sum(r["count"] for r in hot),
-    )
+    return df.join(marks, match, "left_anti"), df.join(marks, match, "left_semi"), rows
 
 
 def _sliced(df: DataFrame, keys: list[str], order: Order, rows: int, slice_rows: int) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from millrace.operators import layout as ly
 from millrace.plans.derived import FILE_PATHS, file_paths, from_sql
 from millrace.plans.registry import Tables, plan
+from millrace.plans.schema import TABLES, columns_of
 from millrace.session import scratch_path
 from millrace.sources.files import read_table, write_table
 
@@ -207,29 +208,30 @@ def partition_pruned_read(t: Tables) -> DataFrame:
     return back.where(F.col("o_orderstatus") == "F").select("o_orderkey", "o_totalprice", "o_orderstatus")
 
 
-STAT_COLUMNS = {
-    "customer": ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"],
-    "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"],
-    "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag"],
-    "events": ["event_id", "user_id", "event_type", "props"],
-    "documents": ["doc_id", "lang", "source", "n_chars"],
-}
+# Every ordered column of the given tables; numbers with a fraction are shown with four digits.
+STAT_COLUMNS = {name: [c for c in columns_of(name) if not c[1].startswith("array")] for name in TABLES}
+
+
+def _shown(column: str, kind: str) -> str:
+    return f"CAST({column} AS DECIMAL(28, 4))" if kind == "double" else column
 
 
 @plan(
     "table_stats",
     " UNION ALL ".join(
         f"SELECT '{table}' AS table_name, '{c}' AS column_name, COUNT(*) AS n_rows, COUNT(*) - COUNT({c}) AS n_nulls, "
-        f"CAST(MIN({c}) AS VARCHAR) AS low, CAST(MAX({c}) AS VARCHAR) AS high FROM {table}"
+        f"CAST(MIN({_shown(c, kind)}) AS VARCHAR) AS low, CAST(MAX({_shown(c, kind)}) AS VARCHAR) AS high FROM {table}"
         for table, columns in STAT_COLUMNS.items()
-        for c in columns
+        for c, kind in columns
     ),
 )
 def table_stats(t: Tables) -> DataFrame:
-    return reduce(
-        DataFrame.unionByName,
-        [ly.column_stats(getattr(t, name), name, columns) for name, columns in STAT_COLUMNS.items()],
-    )
+    def stats(name: str) -> DataFrame:
+        columns = STAT_COLUMNS[name]
+        shown = getattr(t, name).select(*[F.expr(_shown(c, kind)).alias(c) for c, kind in columns])
+        return ly.column_stats(shown, name, [c for c, _ in columns])
+
+    return reduce(DataFrame.unionByName, [stats(name) for name in STAT_COLUMNS])
 
 
 @plan("table_sizes")

@@ -33,7 +33,7 @@ TABLES = {
 }
 
 
-def _columns(table: str) -> list[tuple[str, str]]:
+def columns_of(table: str) -> list[tuple[str, str]]:
     return [tuple(c.split(":")) for c in TABLES[table].split()]
 
 
@@ -66,6 +66,10 @@ def infer_schema(t: Tables) -> DataFrame:
     return sc.infer_fields(from_sql(t, JSON_DOCS, "events", "orders"), "doc")
 
 
+def _all(t: Tables) -> dict[str, DataFrame]:
+    return {name: getattr(t, name) for name in TABLES}
+
+
 def _by_values(table: str, column: str) -> str:
     return f"(COUNT(*) > 10 AND COUNT(DISTINCT {column}) < 0.2 * COUNT(*))"
 
@@ -78,24 +82,19 @@ def _by_name(column: str) -> str:
     "partition_candidates",
     " UNION ALL ".join(
         f"SELECT '{table}' AS table_name, '{c}' AS field, {_by_name(c)} AS by_name, {_by_values(table, c)} AS by_values FROM {table}"
-        for table in ("orders", "lineitem")
-        for c, _ in _columns(table)
+        for table in TABLES
+        for c, _ in columns_of(table)
     ),
 )
 def partition_candidates(t: Tables) -> DataFrame:
-    return sc.union_fields(
-        [
-            sc.partition_candidates(getattr(t, name)).withColumn("table_name", F.lit(name))
-            for name in ("orders", "lineitem")
-        ]
-    )
+    return sc.column_profile(_all(t)).select("table_name", "field", "by_name", "by_values")
 
 
 FIELDS = " UNION ALL ".join(
     f"SELECT '{table}' AS table_name, '{c}' AS field, '{kind}' AS type, ({_by_name(c)} OR {_by_values(table, c)}) AS is_partition, "
     f"COUNT(*) AS n_rows FROM {table}"
     for table in TABLES
-    for c, kind in _columns(table)
+    for c, kind in columns_of(table)
 )
 
 
@@ -114,8 +113,7 @@ FIELDS = " UNION ALL ".join(
     """,
 )
 def schema_stats(t: Tables) -> DataFrame:
-    fields = [sc.table_fields(t.spark, name, getattr(t, name)) for name in TABLES]
-    return sc.schema_statistics(sc.union_fields(fields))
+    return sc.schema_statistics(sc.table_fields(_all(t)))
 
 
 # Two catalog snapshots: each customer stands for a table, the priorities of its orders
@@ -140,7 +138,7 @@ CHANGES = f"""
 
 
 def _changes(t: Tables) -> DataFrame:
-    return sc.diff_columns(from_sql(t, OLD_CATALOG, "orders"), from_sql(t, NEW_CATALOG, "orders"))
+    return sc.diffcolumns_of(from_sql(t, OLD_CATALOG, "orders"), from_sql(t, NEW_CATALOG, "orders"))
 
 
 @plan("schema_diff", CHANGES)
@@ -224,5 +222,5 @@ def register_table(t: Tables) -> DataFrame:
         [("o_orderstatus", "string", "F, O or P")],
         f"{root}/orders",
     )
-    sc.add_columns(t.spark, table, [("note", "string")])
+    sc.addcolumns_of(t.spark, table, [("note", "string")])
     return t.spark.table(table)

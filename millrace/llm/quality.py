@@ -26,8 +26,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from millrace.llm.common import by_slice, slices_of
+from millrace.llm.common import by_slice, free_name, slices_of
 from millrace.session import materialize
 
 ORDER = 4
@@ -377,12 +378,14 @@ def verdicts(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that pass, with all their columns, each judged in the pass that copies it."""
+    """The documents that pass, with all their columns; each is measured once, in a pass that copies it."""
     langs, model = train(docs)
-    measured = materialize(measure(docs, langs, model), "measured")  # read twice below, measured once
-    limits = {r.lang: (r.low, r.high) for r in bands(measured).collect()}  # a row per language
-    shared, own = docs.sparkSession.sparkContext.broadcast(model), set(langs)
+    shared, own = docs.sparkSession.sparkContext.broadcast(model), set(langs)  # bounded by MAX_GRAMS
     lang_at, text_at = docs.columns.index("lang"), docs.columns.index("text")
+    lang, failed, score, band = (free_name(docs, c) for c in ("model_lang", "base_failed", "log_ppl", "band"))
+    added = [StructField(lang, StringType()), StructField(failed, BooleanType()), StructField(score, DoubleType())]
+    schema = StructType([*docs.schema.fields, *added])
+    names = schema.names
 
     def run(batches):
         scorer = _Scorer(shared.value)
@@ -392,13 +395,15 @@ def keep_good(docs: DataFrame) -> DataFrame:
             for part in slices_of(pair):
                 used = [x if x in own else "" for x in part.column("lang").to_pylist()]
                 rows = _measure(scorer, used, [t or "" for t in part.column("text").to_pylist()])
-                keep = []
-                for lang, r in zip(used, rows, strict=True):
-                    low, high = limits.get(lang, (-math.inf, math.inf))
-                    keep.append(not r["base_failed"] and low <= r["log_ppl"] <= high)
-                out = batch.slice(done, part.num_rows).filter(pa.array(keep, pa.bool_()))
+                columns = batch.slice(done, part.num_rows).columns
+                columns += [pa.array(used, pa.string())]
+                columns += [pa.array([r[c] for r in rows], k) for c, k in (("base_failed", pa.bool_()), ("log_ppl", pa.float64()))]
                 done += part.num_rows
-                if out.num_rows:
-                    yield out
-
-    return docs.mapInArrow(run, docs.schema)
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    measured = materialize(docs.mapInArrow(run, schema), "measured")
+    limits = bands(measured.select(F.col(lang).alias("lang"), F.col(failed).alias("base_failed"), F.col(score).alias("log_ppl")))
+    limits = limits.select(F.col("lang").alias(lang), F.struct("low", "high").alias(band))  # at most LANGUAGES + 1 rows
+    inside = F.col(score).between(F.col(f"{band}.low"), F.col(f"{band}.high"))
+    kept = measured.join(F.broadcast(limits), lang, "left").where(~F.col(failed) & F.coalesce(inside, F.lit(True)))
+    return kept.select(*[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns])

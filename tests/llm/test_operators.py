@@ -9,6 +9,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from millrace.llm import bpe, chat, decontaminate, licences, lines, pii, quality, queries, simhash, suffixes, warc
@@ -414,3 +415,13 @@ def test_pipeline_stages(spark, docs):
     four = {r.doc_id: r.text for r in corpus_pipeline.STAGES[3][1](spark, three, SMALL).collect()}
     assert not any(plain_spans(t) for t in four.values())
     assert {r.doc_id for r in corpus_pipeline.run(spark, SMALL).collect()} == set(four)
+
+
+def test_quality_stage_keeps_columns_that_share_its_names(spark, docs):
+    own = docs.limit(60).withColumns({c: F.col("doc_id").cast("string") for c in ("model_lang", "base_failed", "log_ppl", "Band")})
+    kept = quality.keep_good(own)
+    assert kept.schema.names == own.schema.names
+    got = kept.collect()
+    assert got and all({r.model_lang, r.base_failed, r.log_ppl, r.Band} == {str(r.doc_id)} for r in got)
+    good = {r.doc_id for r in quality.verdicts(own).where("kept").collect()}
+    assert {r.doc_id for r in got} == good

@@ -92,6 +92,13 @@ def filter_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], lis
     return df.mapInArrow(run, types)
 
 
+def file_system(folder: str):
+    """pyarrow's file system of a folder in the shared location, and the folder's path on it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+
+
 def texts_of(batch: pa.RecordBatch) -> list[str]:
     return [t if t is not None else "" for t in batch.column("text").to_pylist()]
 

@@ -7,9 +7,11 @@ and remembered. A document that is far less likely than its language's corpus as
 in several languages: each of its words is then scored by the language it fits best. A document's perplexity is per character; a language's documents give robust bands
 (median and median deviation of the logarithm), and a document outside its language's bands goes.
 
-What is kept of the corpus: n-grams seen at least ``total / MAX_GRAMS`` times per language, so no
-language's order holds more than ``MAX_GRAMS`` entries at any size of the corpus; rarer ones are
-scored by backing off. ``LANGUAGES`` most frequent languages have models; others share one (``""``).
+The model keeps every n-gram of the corpus and grows with it. Those seen at least ``total / MAX_GRAMS``
+times per language and order, at most ``MAX_GRAMS`` of them by that rule, are broadcast; all rarer ones
+lie in the shared folder in blocks sorted by hash, and a task reads the blocks it needs and holds
+``HELD_BLOCKS`` of them. Where an n-gram lies has no effect on scores. ``LANGUAGES`` most frequent
+languages have models; the texts of all others train and use one they share (``""``).
 
 Defined cases. Null text: empty, no words, base_failed. Null language: the shared model. A language
 with fewer than ``MIN_DOCS`` documents has no bands and rejects nothing. Repeated rows count as
@@ -28,11 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from millrace.llm.common import by_slice, free_name, slices_of
-from millrace.session import materialize
+from millrace.llm.common import by_slice, file_system, free_name, slices_of
+from millrace.session import materialize, scratch_path
 
 ORDER = 4
-MAX_GRAMS = 1 << 18  # 16 bytes each: at most 4 MB per language and order, 151 MB in all
+MAX_GRAMS = 1 << 18  # broadcast, 16 bytes each: at most 4 MB per language and order, 151 MB in all
+BLOCK_GRAMS = 1 << 16  # rarer n-grams per block, 1 MB
+HELD_BLOCKS = 32  # blocks a task holds at a time
 LANGUAGES = 8
 MIN_WORDS = 50
 MIN_DOCS = 30
@@ -154,8 +158,8 @@ def gram_counts(inputs: DataFrame, order: int = ORDER) -> DataFrame:
     return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def kneser_ney(counts: DataFrame, order: int = ORDER, max_grams: int = MAX_GRAMS) -> DataFrame:
-    """(lang, gram, p, bow) of an interpolated modified Kneser-Ney model, from (lang, gram, n).
+def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
+    """(lang, gram, n, p, bow) of an interpolated modified Kneser-Ney model, from (lang, gram, n).
 
     Grams shorter than ``order`` in the input begin a word and keep their own counts; all others
     get the number of different letters seen before them. Discounts come from the counts of
@@ -198,8 +202,6 @@ def kneser_ney(counts: DataFrame, order: int = ORDER, max_grams: int = MAX_GRAMS
         probable[k] = lower = materialize(rows, f"order-{k}")
     kept = None
     for k, rows in probable.items():
-        least = rows.groupBy("lang").agg((F.sum("n") / max_grams).alias("least"))
-        rows = rows.join(F.broadcast(least), "lang").where(F.col("n") >= F.col("least")).drop("least")
         rows = rows.join(weights[k], ["lang", "gram"], "left") if 0 < k < order else rows.withColumn("bow", F.lit(1.0))
         kept = rows if kept is None else kept.unionByName(rows)
     return kept.select("lang", "gram", "n", F.col("p").cast("float").alias("p"), F.coalesce("bow", F.lit(1.0)).cast("float").alias("bow"))
@@ -219,32 +221,118 @@ def _push(h, letters):
     return h ^ (h >> np.uint64(32))
 
 
+def _seed(lang: str) -> np.uint64:
+    return np.uint64(xxhash.xxh64_intdigest(lang.encode()))
+
+
+def _hashed(rows: pa.Table | pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, log probabilities and log back-off weights of the n-grams of ``k`` letters in ``rows``."""
+    import pyarrow.compute as pc
+
+    part = rows.filter(pc.equal(pc.utf8_length(rows.column("gram")), k))
+    langs = part.column("lang").to_pylist()
+    seeds = {lang: _seed(lang) for lang in set(langs)}
+    keys = np.array([seeds[lang] for lang in langs], np.uint64)
+    flat, _ = _codes(part.column("gram").to_pylist())
+    for j in range(k):
+        keys = _push(keys, flat[j::k])
+    p, bow = (np.asarray(part.column(c)).astype(np.float64) for c in ("p", "bow"))
+    return keys, np.log(p).astype(np.float32), np.log(np.maximum(bow, 1e-9)).astype(np.float32)
+
+
+def _find_keys(table: np.ndarray, p: np.ndarray, bow: np.ndarray, keys: np.ndarray):
+    """Whether each key is in a sorted array, and its two values."""
+    if not len(table):
+        return np.zeros(len(keys), bool), np.zeros(len(keys), np.float32), np.zeros(len(keys), np.float32)
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return table[at] == keys, p[at], bow[at]
+
+
+class RareGrams:
+    """Sorted hash arrays in the shared folder, one Parquet file per leading ``bits`` of the keys."""
+
+    def __init__(self, folder: str, bits: int):
+        self.folder, self.bits, self.blocks = folder, bits, {}
+
+    def __getstate__(self):
+        return {"folder": self.folder, "bits": self.bits, "blocks": {}}
+
+    @classmethod
+    def write(cls, rows: DataFrame, folder: str, order: int = ORDER) -> RareGrams:
+        """Write (lang, gram, p, bow) below ``folder``."""
+        bits = max(0, math.ceil(rows.count() / BLOCK_GRAMS) - 1).bit_length()
+
+        def run(batches):
+            for batch in batches:
+                for k in range(1, order + 1):
+                    keys, p, bow = _hashed(batch, k)
+                    block = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+                    columns = [block, np.full(len(keys), k, np.int32), keys.view(np.int64), p, bow]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["block", "size", "key", "p", "bow"])
+
+        keyed = rows.mapInArrow(run, "block bigint, size int, key bigint, p float, bow float")
+        unsigned = F.col("key").bitwiseXOR(F.lit(-(1 << 63)))
+        # keys are hashes, so no block is larger than others
+        ordered = keyed.repartition("block").sortWithinPartitions("block", "size", unsigned)
+        ordered.write.partitionBy("block").parquet(folder)
+        return cls(folder, bits)
+
+    def _block(self, number: int) -> dict[int, tuple]:
+        if number in self.blocks:
+            self.blocks[number] = self.blocks.pop(number)  # the least recently used come first
+            return self.blocks[number]
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+
+        system, base = file_system(self.folder)
+        files = system.get_file_info(fs.FileSelector(f"{base}/block={number}", allow_not_found=True))
+        out = {}
+        for info in files:
+            if not info.path.endswith(".parquet"):
+                continue
+            rows = pq.ParquetFile(system.open_input_file(info.path)).read()
+            size, key, p, bow = (rows.column(c).to_numpy() for c in ("size", "key", "p", "bow"))
+            for k in np.unique(size).tolist():
+                a, b = np.searchsorted(size, [k, k + 1])
+                out[k] = (key[a:b].view(np.uint64), p[a:b], bow[a:b])
+        while len(self.blocks) >= HELD_BLOCKS:
+            del self.blocks[next(iter(self.blocks))]
+        self.blocks[number] = out
+        return out
+
+    def look(self, k: int, keys: np.ndarray):
+        known, p, bow = _find_keys(keys[:0], keys[:0], keys[:0], keys)
+        if not len(keys):
+            return known, p, bow
+        different, back = np.unique(keys, return_inverse=True)
+        block = different >> np.uint64(64 - self.bits) if self.bits else np.zeros(len(different), np.uint64)
+        cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+        parts = []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            table = self._block(int(block[a])).get(k, (different[:0],) * 3)
+            parts.append(_find_keys(*table, different[a:b]))
+        known, p, bow = (np.concatenate(x)[back] for x in zip(*parts, strict=True))
+        return known, p, bow
+
+
 class Model:
     """Sorted hash arrays per order: 64-bit keys, log probabilities, log back-off weights."""
 
-    def __init__(self, rows: pa.Table, expected: dict[str, float], order: int = ORDER):
-        """``rows``: (lang, gram, p, bow). ``expected``: nats per letter over the corpus, by language."""
-        import pyarrow.compute as pc
-
-        self.order, self.arrays, self.expected = order, {}, expected
-        self.seeds = {lang: np.uint64(xxhash.xxh64_intdigest(lang.encode())) for lang in pc.unique(rows.column("lang")).to_pylist()}
-        length = pc.utf8_length(rows.column("gram"))
+    def __init__(self, rows: pa.Table, expected: dict[str, float], rare: RareGrams, order: int = ORDER):
+        """``rows``: frequent (lang, gram, p, bow). ``expected``: nats per letter over the corpus, by language."""
+        self.order, self.arrays, self.expected, self.rare = order, {}, expected, rare
+        self.seeds = {lang: _seed(lang) for lang in rows.column("lang").unique().to_pylist()}
         for k in range(order + 1):
-            part = rows.filter(pc.equal(length, k))
-            keys = np.array([self.seeds[lang] for lang in part.column("lang").to_pylist()], np.uint64)
-            flat = np.frombuffer("".join(part.column("gram").to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-            for j in range(k):
-                keys = _push(keys, flat[j::k])
+            keys, p, bow = _hashed(rows, k)
             sorted_ = np.argsort(keys)
-            p, bow = (np.asarray(part.column(c)).astype(np.float64) for c in ("p", "bow"))
-            self.arrays[k] = (keys[sorted_], np.log(p).astype(np.float32)[sorted_], np.log(np.maximum(bow, 1e-9)).astype(np.float32)[sorted_])
+            self.arrays[k] = (keys[sorted_], p[sorted_], bow[sorted_])
 
     def _look(self, k, keys):
-        table, p, bow = self.arrays[k]
-        if not len(table):
-            return np.zeros(len(keys), bool), np.zeros(len(keys), np.float32), np.zeros(len(keys), np.float32)
-        at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-        return table[at] == keys, p[at], bow[at]
+        known, p, bow = _find_keys(*self.arrays[k], keys)
+        rest = np.flatnonzero(~known)
+        if k and len(rest):
+            known[rest], p[rest], bow[rest] = self.rare.look(k, keys[rest])
+        return known, p, bow
 
     def score(self, lang: str, words: list[str]) -> np.ndarray:
         """Log probability of each word: of all its letters and its end, given its beginning."""
@@ -284,11 +372,17 @@ def train(docs: DataFrame, langs: list[str] | None = None) -> tuple[list[str], M
     langs = languages(docs) if langs is None else langs
     counts = materialize(gram_counts(_inputs(docs, langs)), "grams")
     model = materialize(kneser_ney(counts), "model")
-    # every count of the input is one scored letter; grams cut from the model are left out
+    # every count of the input is one scored letter
     events = counts.join(model.drop("n"), ["lang", "gram"]).groupBy("lang")
     expected = events.agg((F.sum(-F.col("n") * F.log("p")) / F.sum("n")).alias("nats")).collect()  # a row per language
-    rows = model.select("lang", "gram", "p", "bow").toArrow()  # at most MAX_GRAMS rows per language and order
-    return langs, Model(rows, {r.lang: r.nats for r in expected})
+    size = F.length("gram")
+    least = model.groupBy("lang", size.alias("size")).agg((F.sum("n") / MAX_GRAMS).alias("least"))  # a row per language and order
+    sized = model.withColumn("size", size).join(F.broadcast(least), ["lang", "size"])
+    frequent = F.col("n") >= F.col("least")
+    rows = sized.where(frequent).select("lang", "gram", "p", "bow").toArrow()  # at most MAX_GRAMS rows per language and order
+    rare = materialize(sized.where(~frequent).select("lang", "gram", "p", "bow"), "rare")
+    rare = RareGrams.write(rare, scratch_path(docs.sparkSession, "rare-blocks"))
+    return langs, Model(rows, {r.lang: r.nats for r in expected}, rare)
 
 
 # --- scores and verdicts -----------------------------------------------------------------------
@@ -339,7 +433,7 @@ def _measure(scorer: _Scorer, langs, texts) -> list[dict]:
 
 def measure(docs: DataFrame, langs: list[str], model: Model) -> DataFrame:
     """Base counts and log perplexity of every whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MAX_GRAMS, see above
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # its frequent n-grams, bounded by MAX_GRAMS
     kinds = [("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()), ("base_failed", pa.bool_()), ("log_ppl", pa.float64())]
 
     def make():
@@ -380,7 +474,7 @@ def verdicts(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that pass, with all their columns; each is measured once, in a pass that copies it."""
     langs, model = train(docs)
-    shared, own = docs.sparkSession.sparkContext.broadcast(model), set(langs)  # bounded by MAX_GRAMS
+    shared, own = docs.sparkSession.sparkContext.broadcast(model), set(langs)  # as in measure
     lang_at, text_at = docs.columns.index("lang"), docs.columns.index("text")
     lang, failed, score, band = (free_name(docs, c) for c in ("model_lang", "base_failed", "log_ppl", "band"))
     added = [StructField(lang, StringType()), StructField(failed, BooleanType()), StructField(score, DoubleType())]

@@ -19,6 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.llm.common import file_system
 from millrace.session import path_exists, scratch_path
 
 REVISIT_BYTES = 1000
@@ -135,11 +136,10 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     rows = with_originals(pages).select("page_id", "url", "payload", "digest", "original")
 
     def run(batches):
-        from pyarrow import fs
         from pyspark import TaskContext
 
         context = TaskContext.get()
-        system, base = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+        system, base = file_system(folder)
         system.create_dir(base, recursive=True)
         held, size, number = [], 0, 0
 

@@ -330,6 +330,24 @@ def test_model_sums_to_one_and_the_bands_reject_noise(spark):
     assert scores[100] > max(v for k, v in scores.items() if k != 100) + 0.5
 
 
+def test_rare_grams_in_the_shared_folder_give_the_same_scores(spark, docs, monkeypatch):
+    monkeypatch.setattr(quality, "MAX_GRAMS", 1 << 40)  # everything is broadcast
+    langs, whole = quality.train(docs)
+    want = by_id(quality.measure(docs, langs, whole))
+    monkeypatch.setattr(quality, "MAX_GRAMS", 50)
+    monkeypatch.setattr(quality, "BLOCK_GRAMS", 500)
+    monkeypatch.setattr(quality, "HELD_BLOCKS", 2)
+    _, split = quality.train(docs, langs)
+    assert split.rare.bits >= 2 and all(len(split.arrays[k][0]) <= 50 * (len(langs) + 1) < len(whole.arrays[k][0]) for k in (3, 4))
+    words = sorted({w for t in docs.limit(40).toPandas().text.fillna("") for w in quality.words_of(t)}) + ["qqxz", "日本"]
+    for lang in langs:
+        assert split.score(lang, words).tolist() == whole.score(lang, words).tolist()
+    assert len(split.rare.blocks) <= 2
+    got = by_id(quality.measure(docs, langs, split))
+    assert {i: r.lang for i, r in got.items()} == {i: r.lang for i, r in want.items()}
+    assert all(r.log_ppl == want[i].log_ppl or abs(r.log_ppl - want[i].log_ppl) < 1e-9 for i, r in got.items())
+
+
 # --- 9
 
 

@@ -1,5 +1,6 @@
 import difflib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,14 +63,14 @@ def test_near_duplicates_against_all_pairs(few_texts):
     found = {(r.member, r.leader): r.ratio for r in du.near_duplicates(few_texts).collect()}
     for (member, leader), ratio in found.items():
         assert leader < member and ratio >= du.SIMILARITY
-        assert ratio == difflib.SequenceMatcher(None, texts[leader], texts[member]).ratio()
+        assert ratio == difflib.SequenceMatcher(None, texts[leader], texts[member], autojunk=False).ratio()
     similar = set()
     for n, a in enumerate(ids):
-        matcher = difflib.SequenceMatcher(None, "", texts[a])
+        matcher = difflib.SequenceMatcher(None, "", texts[a], autojunk=False)
         for b in ids[n + 1 :]:
             if 2 * min(len(texts[a]), len(texts[b])) >= 0.8 * (len(texts[a]) + len(texts[b])):
                 matcher.set_seq1(texts[b])
-                if matcher.quick_ratio() >= 0.8 and difflib.SequenceMatcher(None, texts[a], texts[b]).ratio() >= 0.8:
+                if matcher.quick_ratio() >= 0.8 and difflib.SequenceMatcher(None, texts[a], texts[b], autojunk=False).ratio() >= 0.8:
                     similar.add((b, a))
     assert similar
     linked = {m for m, _ in found}
@@ -91,6 +92,26 @@ def test_many_copies_and_unlike_texts_in_one_bucket(spark, monkeypatch):
     assert labels == {**{i: 0 for i in range(40)}, **{i: 40 for i in range(40, 80)}}
 
 
+def test_ids_of_lines_do_not_collide(spark):
+    """A document of more than a million lines beside the next one."""
+    df = spark.range(2).selectExpr("id AS doc_id", "IF(id = 0, repeat('x\n', 1000003), 'y\nz') AS text")
+    blocks = du.text_blocks(df)
+    assert blocks.count() == blocks.select("block_id").distinct().count() == 1_000_005
+
+
+def test_what_is_found_does_not_depend_on_other_buckets(spark, monkeypatch):
+    """Unlike texts in one bucket are each compared, with or without many texts elsewhere."""
+    rng = np.random.default_rng(3)
+    unlike = ["".join(map(chr, rng.integers(97, 123, 60))) for _ in range(40)]
+    texts = [(i, t) for i, t in enumerate(unlike)] + [(100 + i, unlike[i] + "!") for i in range(40)]
+    others = [(1000 + i, f"zz {i:05d}") for i in range(300)]
+    key = F.when(F.col("id") < 1000, F.lit(-1)).otherwise(F.col("id")).cast("bigint")
+    monkeypatch.setattr(du, "band_keys", lambda *a: F.array(key))
+    for rows_ in (texts, texts + others):
+        found = du.near_duplicates(spark.createDataFrame(rows_, "id bigint, text string"))
+        assert sorted((r.member, r.leader) for r in found.collect()) == [(100 + i, i) for i in range(40)]
+
+
 def test_no_candidates(spark):
     df = spark.createDataFrame([(1, "a b c"), (2, "x y z")], "id bigint, text string")
     assert du.near_duplicates(df).count() == 0

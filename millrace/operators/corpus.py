@@ -13,9 +13,10 @@ from millrace.session import spread
 
 # --- fixed values ------------------------------------------------------------------
 
-SQL_KEYWORDS = (
-    "SELECT INSERT UPDATE DELETE CREATE DROP ALTER WITH MERGE TRUNCATE GRANT REVOKE EXPLAIN ANALYZE"
-).split()
+SQL_KEYWORDS = [
+    "SELECT", "INSERT", "UPDATE", "DELETE", "CREATE", "DROP", "ALTER", "WITH", "MERGE", "TRUNCATE",
+    "GRANT", "REVOKE", "EXPLAIN", "ANALYZE",
+]
 STATEMENT_KEYWORDS = "SELECT|INSERT|UPDATE|DELETE|CREATE|DROP|ALTER|WITH|MERGE|TRUNCATE"
 SEPARATORS = (
     r"\n\s*-{3,}[^\n]*\n",  # a line of dashes

@@ -29,6 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.llm import similar
 from millrace.llm.common import by_slice, free_name, id_and_text, slices_of
 from millrace.llm.graph import components
 from millrace.session import materialize
@@ -282,13 +283,14 @@ def near_links(vertices: DataFrame) -> DataFrame:
     return parts.mapInArrow(run, "a bigint, b bigint")
 
 
-def fingerprint_groups(prints: DataFrame) -> DataFrame:
+def fingerprint_groups(prints: DataFrame, links: DataFrame | None = None) -> DataFrame:
     """(fp, component_id, keeper): a fingerprint's component, named by its smallest doc_id.
 
-    ``keeper`` tells the one fingerprint of the component whose documents include that id.
+    ``keeper`` tells the one fingerprint of the component whose documents include that id. ``links``
+    replaces those within ``RADIUS``.
     """
     smallest = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    linked = components(near_links(smallest.select("fp")))
+    linked = components(near_links(smallest.select("fp")) if links is None else links)
     rooted = smallest.join(linked.withColumnRenamed("id", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     # nulls last: a struct's first field says whether the id is missing
     best = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "fp")).alias("best")
@@ -330,3 +332,26 @@ def keep_one(docs: DataFrame) -> DataFrame:
     order = Window.partitionBy("doc_id", name).orderBy(*[F.col(f"`{c}`") for c in docs.columns])
     rank = free_name(docs, "rank_of_copy")
     return kept.withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def keep_one_similar(docs: DataFrame, shingle: int = similar.SHINGLE, similarity: float = similar.SIMILARITY) -> DataFrame:
+    """One document of each group of texts whose shingle sets are similar, chosen as by ``keep_one``."""
+    found = materialize(similar.with_prefixes(docs, shingle, similarity), "prefixes")
+    groups = fingerprint_groups(found.select("doc_id", "fp"), similar.links(docs, found, shingle, similarity)).where("keeper")
+    winners = groups.select(F.col("component_id").alias("__id"), F.col("fp").alias("__fp"))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("fp") == F.col("__fp"))
+    rows = found.select("doc_id", "fp", "row_key")
+    losers = materialize(rows.join(winners, same, "left_anti").select("row_key").distinct(), "losers")
+    kept = similar.rows_of(docs, losers, "left_anti")
+    # texts stay where they are, but for rows that repeat both the id and the set of a kept one
+    again = rows.join(winners, same, "left_semi").groupBy("doc_id", "fp").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    matched = F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("fp") == F.col("__fp"))
+    again = again.select(F.col("doc_id").alias("__doc"), F.col("fp").alias("__fp"))
+    again = materialize(rows.join(again, matched).select("row_key", "__doc", "__fp").distinct(), "repeated")
+    if again.isEmpty():
+        return kept
+    order = Window.partitionBy("__doc", "__fp").orderBy(*[F.col(f"`{c}`") for c in docs.columns])
+    rank = free_name(docs, "rank_of_copy")
+    copies = similar.rows_of(kept, again, "left_semi").join(again, similar.row_key(kept) == F.col("row_key"))
+    first = copies.withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return similar.rows_of(kept, again, "left_anti").unionByName(first)

@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from millrace.llm import bpe, chat, decontaminate, licences, lines, pii, quality, queries, simhash, suffixes, warc
+from millrace.llm import bpe, chat, decontaminate, licences, lines, pii, quality, queries, simhash, similar, suffixes, warc
 from tests.harness import compare, duck
 from tests.llm.conftest import HARD, SMALL
 
@@ -419,6 +419,59 @@ def test_blocks_of_the_benchmark_give_the_same(spark, docs):
 # --- pipeline
 
 
+def plain_set(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def plain_similarity(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def planted_copies(originals=30, copies=4):
+    """Texts of 120 words, each with copies of similarity 0.8 to 0.97 to it (exact, by ``plain_set``)."""
+    random = np.random.RandomState(7)
+    out = []
+    for g in range(originals):
+        base = [f"w{random.randint(5000)}" for _ in range(120)]
+        out.append((g, " ".join(base)))
+        made = 0
+        while made < copies:
+            other = list(base)
+            for at in random.choice(120, random.randint(1, 4), replace=False):
+                other[at] = f"x{random.randint(10**6)}"
+            if plain_similarity(plain_set(" ".join(base)), plain_set(" ".join(other))) >= 0.8:
+                out.append((g, " ".join(other)))
+                made += 1
+    return out
+
+
+def test_near_copies_of_the_contract_similarity_go(spark):
+    rows = planted_copies()
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id bigint, text string")
+    kept = sorted(r.doc_id for r in corpus_pipeline.STAGES[1][1](spark, df, SMALL).collect())
+    assert kept == [i for i in range(len(rows)) if i % 5 == 0]
+
+
+@pytest.mark.parametrize("crowd", [2, 64])
+def test_similar_sets_against_all_pairs(spark, docs, monkeypatch, crowd):
+    monkeypatch.setattr(similar, "CROWD", crowd)
+    monkeypatch.setattr(similar, "PIECE", 700)
+    monkeypatch.setattr(similar, "COUNTED", 2)
+    texts = [t for _, t in planted_copies(12, 6)] + [r.text for r in docs.limit(120).collect()] + [None, "", "a b", "A  b", "a b c"]
+    # a chain in one hot bucket: neighbours are similar, ends are not; and texts that only share a passage
+    words = [f"c{i}" for i in range(60)]
+    for i in range(12):
+        texts.append(" ".join([*[f"n{j}" for j in range(i)], *words[i:]]))
+    passage = " ".join(f"p{i}" for i in range(30))
+    texts += [f"{passage} " + " ".join(f"u{k}x{j}" for j in range(4 + k % 5)) for k in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    sets = [plain_set(t) for t in texts]
+    pairs = [(a, b) for b in range(len(sets)) for a in range(b) if plain_similarity(sets[a], sets[b]) >= 0.8]
+    heads = sorted(set(roots(len(sets), pairs)))
+    assert sorted(r.doc_id for r in simhash.keep_one_similar(df).collect()) == heads
+
+
 def test_pipeline_stages(spark, docs):
     benchmark = spark.read.parquet(f"{SMALL}/benchmark.parquet")
     kept = {r.doc_id for r in quality.verdicts(docs).where("kept").collect()}

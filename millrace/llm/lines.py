@@ -4,8 +4,8 @@ Units (lines, or paragraphs between blank lines) are normalised and hashed; equa
 grouped over the whole corpus, the earliest occurrence by (doc_id, offset) stays, and all others
 are removed. Offsets are code points of the original text, end exclusive.
 
-Defined cases. Null text: empty, no units. Units of fewer than ``MIN_WORDS`` words stay (they repeat
-by chance). A null doc_id ranks before all others. Rows that repeat a doc_id and text are copies: of
+Defined cases. Null text: empty, no units. Units of fewer than ``min_words`` words stay, by default
+blank ones only. A null doc_id ranks before all others. Rows that repeat a doc_id and text are copies: of
 their units, one row's stay, all of the same row. Empty table: no rows. Other columns are not read;
 ``remove_repeats`` passes them through.
 """
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from millrace.llm.common import by_slice, free_name, id_and_text
 from millrace.session import materialize
 
-MIN_WORDS = 5
+MIN_WORDS = 1
 _UNITS = {"line": re.compile(r"[^\n]+"), "paragraph": re.compile(r"(?:[^\n]+\n?)+")}
 _DIGITS = re.compile(r"\d+")
 

@@ -187,6 +187,13 @@ def test_line_repeats(spark, docs, texts):
         assert cut[i].text == kept
 
 
+def test_repeats_of_short_lines_go(spark):
+    df = spark.createDataFrame([(1, "Les.\n\nAnd ornd."), (2, "les.\n \nnew\nLes.")], "doc_id bigint, text string")
+    got = by_id(lines.line_repeats(df))
+    assert [(got[i].n_units, got[i].removed) for i in (1, 2)] == [(2, ""), (3, "0:4,11:15")]
+    assert by_id(lines.remove_repeats(df))[2].text == "\n \nnew\n"
+
+
 # --- 5
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import bpe, chat, decontaminate, licences, lines, pii, quality, simhash, suffixes, warc
+from millrace.llm import bpe, chat, decontaminate, licences, lines, pii, quality, secret_scan, simhash, spelling, suffixes, warc, whitening
 from millrace.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -54,8 +54,23 @@ def op10_decontaminate(spark, folder):
     return decontaminate.find_benchmark(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op11_spelling(spark, folder):
+    return spelling.spelling_variants(table(spark, folder, "documents"))
+
+
+def op12_whitening(spark, folder):
+    return whitening.whitened_rows(table(spark, folder, "embeddings"))
+
+
+def op13_secrets(spark, folder):
+    return secret_scan.secrets(table(spark, folder, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_pii, op2_simhash, op3_chat, op4_lines, op5_bpe, op6_licences, op7_suffixes, op8_quality, op9_warc, op10_decontaminate)
-}
+    for f in (
+        op1_pii, op2_simhash, op3_chat, op4_lines, op5_bpe, op6_licences, op7_suffixes, op8_quality, op9_warc, op10_decontaminate,
+        op11_spelling, op12_whitening, op13_secrets,
+    )
+}
 ORACLES = {"op3_chat": chat.SQL, "op9_warc": warc.SQL}

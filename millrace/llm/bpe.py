@@ -32,13 +32,14 @@ from millrace.session import materialize, scratch_path
 
 LEXICON_WORDS = 30_000  # most frequent words compiled; a parameter of speed only
 LEXICON_WORD_BYTES = 64  # longer words are left to the merges, which bounds the lexicon at about 10 MB
-CACHE = 75_000  # chunks a task remembers; twice as many until it forgets those not used again
+CACHE = 200_000  # chunks a task remembers; twice as many until it forgets those not used again
 COUNTED = 150_000  # distinct words a task counts before it hands them on
 
 # what the normaliser takes for white space: Unicode's White_Space, as fixed by the standard
 _SPACES = regex.compile("[\t-\r \x85\xa0  -     　]+")
 _ODD = regex.compile("[\x1c-\x1f]")  # split() takes these for white space, the normaliser does not
 _LATIN = regex.compile("[\x00-ɏ]*")  # here all Unicode versions agree on letters, case and composition
+_MARKS = frozenset("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")  # ASCII, without the apostrophe
 _NONE = np.iinfo(np.int32).max
 
 
@@ -115,6 +116,19 @@ class Tokenizer:
                 for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part)):
                     yield bytes(map(self.byte_of.__getitem__, w))
 
+    def words_of(self, chunks) -> dict[str, tuple]:
+        """The words of many chunks; most are letters, or letters and one mark, and need no pattern."""
+        out, latin = {}, _LATIN.fullmatch
+        for chunk in chunks:
+            low = chunk.lower()
+            if low.isalpha() and (low.isascii() or latin(chunk)):
+                out[chunk] = (low.encode(),)
+            elif (stem := low[:-1]).isalpha() and low[-1] in _MARKS and (stem.isascii() or latin(chunk)):
+                out[chunk] = (stem.encode(), low[-1].encode())
+            else:
+                out[chunk] = tuple(self.words(chunk))
+        return out
+
     def merge(self, word: bytes) -> list[int]:
         """Exact merges: the pair of lowest rank first, the leftmost of equal ones."""
         ids = [self.inner[b] for b in word[:-1]] + [self.final[word[-1]]]
@@ -332,8 +346,9 @@ def count_words(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
         def flush():
             words: Counter = Counter()
-            for chunk, n in held.items():
-                for w in tokenizer.words(chunk):
+            for chunk, found in tokenizer.words_of(held).items():
+                n = held[chunk]
+                for w in found:
                     if isinstance(w, bytes) and len(w) <= LEXICON_WORD_BYTES:
                         words[w] += n
             held.clear()
@@ -393,7 +408,7 @@ def _encoder(tokenizer_path: str, lexicon_file: str):
 
     def learn(chunks) -> None:
         """Ids of all new words of a slice at once: from the lexicon, or else merged."""
-        parts = {c: list(tokenizer.words(c)) for c in chunks}
+        parts = tokenizer.words_of(chunks)
         words = list(set().union(*parts.values()).difference(known))
         unseen = []
         for w, ids in zip(words, lexicon.find(words), strict=True):
@@ -407,7 +422,8 @@ def _encoder(tokenizer_path: str, lexicon_file: str):
         for c, p in parts.items():
             cache[c] = get(p[0]) if len(p) == 1 else b"".join(map(get, p))
 
-    def encode(texts: list[str]) -> list[bytes]:
+    def encode(texts: list[str]) -> list[list[bytes]]:
+        """Per text the ids of its chunks."""
         split = [tokenizer.chunks(t) for t in texts]
         nonlocal cache, older, known
         if len(cache) > CACHE:
@@ -419,7 +435,7 @@ def _encoder(tokenizer_path: str, lexicon_file: str):
         new.difference_update(older)
         if new:
             learn(new)
-        return [b"".join(map(cache.__getitem__, s)) for s in split]
+        return [list(map(cache.__getitem__, s)) for s in split]
 
     return tokenizer, encode
 
@@ -432,7 +448,7 @@ def encode(docs: DataFrame, tokenizer_path: str, lexicon: str | None = None) ->
         _, enc = _encoder(tokenizer_path, name)
 
         def apply(batch):
-            ids = enc(batch.column("text").to_pylist())
+            ids = list(map(b"".join, enc(batch.column("text").to_pylist())))
             sizes = pa.array([len(x) // 4 for x in ids], pa.int64())
             return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary()), sizes], names=["doc_id", "ids", "n_tokens"])
 
@@ -464,11 +480,17 @@ def round_trip_digests(docs: DataFrame, tokenizer_path: str, lexicon: str | None
 
     def make():
         tokenizer, enc = _encoder(tokenizer_path, name)
+        said: dict[bytes, str] = {}  # decoded ids of chunks
 
         def apply(batch):
             out = []
-            for ids in enc(batch.column("text").to_pylist()):
-                decoded = tokenizer.decode(np.frombuffer(ids, "<u4").tolist())
+            if len(said) > CACHE:
+                said.clear()
+            for parts in enc(batch.column("text").to_pylist()):
+                for part in set(parts).difference(said):
+                    said[part] = tokenizer.decode(np.frombuffer(part, "<u4").tolist())
+                # tokens are joined with blanks, within a chunk and between chunks
+                ids, decoded = b"".join(parts), " ".join([said[part] for part in parts if part])
                 out.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
             n, a, b = zip(*out, strict=True)
             columns = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]

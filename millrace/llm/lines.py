@@ -1,11 +1,16 @@
 """Substring dedup by line or paragraph hashing.
 
-Units (lines, or paragraphs between blank lines) are normalised and hashed; equal digests are
-grouped over the whole corpus, the earliest occurrence by (doc_id, offset) stays, and all others
-are removed. Offsets are code points of the original text, end exclusive.
-
-Defined cases. Null text: empty, no units. Units of fewer than ``min_words`` words stay, by default
-blank ones only. A null doc_id ranks before all others. Rows that repeat a doc_id and text are copies: of
+Units are normalised and hashed; equal digests are grouped over the whole corpus, the earliest
+occurrence by (doc_id, offset) stays, and all others are removed. A unit begins at every line (or
+paragraph between blank lines) that is not blank and takes in the ones behind it until it has
+``min_words`` words, so a long line is a unit of its own and short ones count as parts of a repeated
+run of lines: single short lines stand in many texts that share nothing else. With ``min_words`` of 1
+every line is judged alone. What is removed is told as spans: units that overlap are one span. A removed
+line always stays where it came first, since each occurrence leads to an earlier one. Offsets are code
+points of the original text, end exclusive.
+
+Defined cases. Null text: empty, no units. The end of a text that has fewer than ``min_words`` words
+begins no unit. A null doc_id ranks before all others. Rows that repeat a doc_id and text are copies: of
 their units, one row's stay, all of the same row. Empty table: no rows. Other columns are not read;
 ``remove_repeats`` passes them through.
 """
@@ -20,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import by_slice, free_name, id_and_text
+from millrace.llm.common import by_slice, free_name
 from millrace.session import materialize
 
-MIN_WORDS = 1
+MIN_WORDS = 15
 _UNITS = {"line": re.compile(r"[^\n]+"), "paragraph": re.compile(r"(?:[^\n]+\n?)+")}
 _DIGITS = re.compile(r"\d+")
 
@@ -34,12 +39,18 @@ def normalise(unit: str) -> list[str]:
 
 
 def units_of(text: str, unit: str = "line", min_words: int = MIN_WORDS) -> list[tuple[bytes, int, int]]:
-    """(digest, start, end) of the units long enough to judge."""
-    out = []
-    for m in _UNITS[unit].finditer(text):
-        words = normalise(m.group())
-        if len(words) >= min_words:
-            out.append((hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest(), m.start(), m.end()))
+    """(digest, start, end) of the units, in order."""
+    lines = [(words, m.start(), m.end()) for m in _UNITS[unit].finditer(text) if (words := normalise(m.group()))]
+    joined = [" ".join(words).encode("utf-8", "surrogatepass") for words, _, _ in lines]
+    out, last, held = [], 0, 0  # the run holds the lines up to ``last``, ``held`` words
+    for first, (words, start, _) in enumerate(lines):
+        while last < len(lines) and held < min_words:
+            held += len(lines[last][0])
+            last += 1
+        if held < min_words:
+            break
+        out.append((hashlib.blake2b(b"\n".join(joined[first:last]), digest_size=16).digest(), start, lines[last - 1][2]))
+        held -= len(words)
     return out
 
 
@@ -72,36 +83,42 @@ def _with_units(rows: DataFrame, unit: str, min_words: int) -> DataFrame:
 
 
 def repeats(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS, row: str | None = None) -> DataFrame:
-    """(row, doc_id, n_units, n_chars, removed): spans to remove, in order; one row per document.
+    """(row, doc_id, n_units, n_chars, n_repeated, removed): spans to remove, in order; one row per document.
 
-    ``row`` names a column that numbers the rows; without it they are numbered here. The digests of a
-    task are aggregated before the shuffle, and the join is between units and the repeated digests
-    only, one row each, so a unit in a third of all documents is split by adaptive execution. Texts
-    are not moved.
+    ``n_repeated`` counts the units that stand elsewhere too, here first or not. ``row`` names a column that
+    numbers the rows; without it they are numbered here. The digests of a task are aggregated before the
+    shuffle; the repeated ones, one row each, are written before units are joined with them, so that a unit
+    in a third of all documents is split by adaptive execution. Texts are not moved.
     """
     number = F.col(row) if row else F.monotonically_increasing_id()
-    rows = id_and_text(docs).withColumn("row", number) if not row else docs.select(
-        F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), number.alias("row")
-    )
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), number.alias("row"))
     found = materialize(_with_units(rows, unit, min_words), "units")
     each = found.select("row", "doc_id", F.explode("units").alias("u")).select(
         F.col("u.digest").alias("digest"), F.struct("doc_id", "row", F.col("u.start").alias("start"), F.col("u.end").alias("end")).alias("at")
     )
     first = each.groupBy("digest").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    again = each.join(first.select("digest", "first"), "digest").where(~F.col("at").eqNullSafe(F.col("first")))
-    spans = again.groupBy(F.col("at.row").alias("row")).agg(
-        F.sort_array(F.collect_list(F.struct(F.col("at.start").alias("start"), F.col("at.end").alias("end")))).alias("removed")
-    )
+    first = materialize(first.select("digest", "first"), "repeated-digests")
+    later = F.when(~F.col("at").eqNullSafe(F.col("first")), F.struct(F.col("at.start").alias("start"), F.col("at.end").alias("end")))
+    again = each.join(first, "digest").select(F.col("at.row").alias("row"), later.alias("span"))
+    spans = again.groupBy("row").agg(F.count(F.lit(1)).alias("n_repeated"), F.sort_array(F.collect_list("span")).alias("spans"))
     none = F.expr("cast(array() as array<struct<start: bigint, end: bigint>>)")
-    return found.drop("units").join(spans, "row", "left").withColumn("removed", F.coalesce("removed", none))
+    # spans are in order of their starts and of their ends; a maximal one goes from a span that begins at
+    # or behind the end of the one before to one that ends at or before the start of the next
+    listed = F.col("spans")
+    begins = F.filter(listed, lambda s, i: (i == 0) | (F.get(listed, i - 1)["end"] <= s["start"]))
+    ends = F.filter(listed, lambda s, i: (i == F.size(listed) - 1) | (F.get(listed, i + 1)["start"] >= s["end"]))
+    whole = F.zip_with(begins, ends, lambda b, e: F.struct(b["start"].alias("start"), e["end"].alias("end")))
+    return found.drop("units").join(spans, "row", "left").select(
+        "row", "doc_id", "n_units", "n_chars", F.coalesce("n_repeated", F.lit(0).cast("bigint")).alias("n_repeated"), F.coalesce(whole, none).alias("removed")
+    )
 
 
-def line_repeats(docs: DataFrame) -> DataFrame:
-    """Per document: units, units and characters removed, and the removed spans with their offsets."""
-    rows = repeats(docs)
+def line_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """Per document: units, those that stand elsewhere too, spans removed, characters kept, and the spans."""
+    rows = repeats(docs, min_words=min_words)
     chars = F.aggregate("removed", F.lit(0).cast("bigint"), lambda s, r: s + r.end - r.start)
     return rows.select(
-        "doc_id", "n_units", F.size("removed").cast("bigint").alias("n_removed"), (F.col("n_chars") - chars).alias("kept_chars"),
+        "doc_id", "n_units", "n_repeated", F.size("removed").cast("bigint").alias("n_removed"), (F.col("n_chars") - chars).alias("kept_chars"),
         F.array_join(F.transform("removed", lambda r: F.concat(r.start.cast("string"), F.lit(":"), r.end.cast("string"))), ",").alias("removed"),
     )
 

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import re
+import unicodedata
 
 import numpy as np
 import pytest
@@ -171,27 +172,58 @@ def test_chat_parts_and_hard_turns(spark):
 # --- 4
 
 
-def test_line_repeats(spark, docs, texts):
-    first = {}
+def plain_units(text, min_words):
+    """Runs of whole lines by their plain words, each as short as it may be."""
+    found = [(m.start(), m.end(), re.sub(r"\d+", "0", unicodedata.normalize("NFC", m.group()).lower()).split()) for m in re.finditer(r"[^\n]+", text)]
+    found = [f for f in found if f[2]]
+    for i in range(len(found)):
+        for j in range(i, len(found)):
+            if sum(len(w) for _, _, w in found[i : j + 1]) >= min_words:
+                yield tuple(" ".join(w) for _, _, w in found[i : j + 1]), found[i][0], found[j][1]
+                break
+
+
+@pytest.mark.parametrize("min_words", [1, lines.MIN_WORDS])
+def test_line_repeats(spark, docs, texts, min_words):
+    first, times = {}, collections.Counter()
     for i in sorted(texts):
-        for digest, a, _ in lines.units_of(texts[i]):
-            first.setdefault(digest, (i, a))
-    got = by_id(lines.line_repeats(docs))
+        for unit, a, _ in plain_units(texts[i], min_words):
+            first.setdefault(unit, (i, a))
+            times[unit] += 1
+    got = by_id(lines.line_repeats(docs, min_words))
     for i, t in texts.items():
-        want = [f"{a}:{b}" for d, a, b in lines.units_of(t) if first[d] != (i, a)]
-        assert got[i].removed == ",".join(want) and got[i].n_removed == len(want)
-    cut = {r.doc_id: r for r in lines.remove_repeats(docs).collect()}
+        units = list(plain_units(t, min_words))
+        gone = np.zeros(len(t) + 2, bool)
+        for u, a, b in units:
+            if first[u] != (i, a):
+                gone[a + 1 : b + 1] = True
+        edges = np.flatnonzero(gone[1:] != gone[:-1])
+        assert got[i].removed == ",".join(f"{a}:{b}" for a, b in zip(edges[::2], edges[1::2], strict=True))
+        assert (got[i].n_units, got[i].n_repeated, got[i].n_removed) == (len(units), sum(times[u] > 1 for u, _, _ in units), len(edges) // 2)
+    cut = {r.doc_id: r for r in lines.remove_repeats(docs, min_words=min_words).collect()}
+    kept_lines = collections.Counter()
     for i, t in texts.items():
         spans = [(s.start, s.end) for s in cut[i].removed_spans]
         kept = "".join(c for at, c in enumerate(t) if not any(a <= at < b for a, b in spans))
         assert cut[i].text == kept
+        kept_lines.update(u for (u,), _, _ in plain_units(kept, 1))
+    # every line is still somewhere
+    assert set(kept_lines) == {u for t in texts.values() for (u,), _, _ in plain_units(t, 1)}
 
 
 def test_repeats_of_short_lines_go(spark):
     df = spark.createDataFrame([(1, "Les.\n\nAnd ornd."), (2, "les.\n \nnew\nLes.")], "doc_id bigint, text string")
-    got = by_id(lines.line_repeats(df))
+    got = by_id(lines.line_repeats(df, min_words=1))
     assert [(got[i].n_units, got[i].removed) for i in (1, 2)] == [(2, ""), (3, "0:4,11:15")]
-    assert by_id(lines.remove_repeats(df))[2].text == "\n \nnew\n"
+    assert by_id(lines.remove_repeats(df, min_words=1))[2].text == "\n \nnew\n"
+    assert all(r.removed == "" for r in lines.line_repeats(df).collect())
+
+
+def test_short_lines_of_a_repeated_run_go(spark):
+    run = "\n".join(f"a few words {w}" for w in ("one", "two", "three", "four", "five"))
+    df = spark.createDataFrame([(1, f"Les.\n{run}\nend"), (2, f"begin\n{run}\nLes.")], "doc_id bigint, text string")
+    got = by_id(lines.remove_repeats(df))
+    assert got[1].text == f"Les.\n{run}\nend" and got[2].text == "begin\n\nLes."
 
 
 # --- 5
@@ -484,7 +516,10 @@ def test_pipeline_stages(spark, docs):
     kept = {r.doc_id for r in quality.verdicts(docs).where("kept").collect()}
     one = corpus_pipeline.STAGES[0][1](spark, docs, SMALL).cache()
     assert {r.doc_id for r in one.collect()} == kept
-    heads = {r.component_id for r in simhash.near_duplicates(one).collect()}
+    left = sorted((r.doc_id, r.text) for r in one.collect())
+    sets = [plain_set(t) for _, t in left]
+    pairs = [(a, b) for b in range(len(sets)) for a in range(b) if plain_similarity(sets[a], sets[b]) >= 0.8]
+    heads = {left[i][0] for i in roots(len(sets), pairs)}
     two = corpus_pipeline.STAGES[1][1](spark, one, SMALL).cache()
     assert sorted(r.doc_id for r in two.collect()) == sorted(heads)
     dirty = {r.doc_id for r in decontaminate.find_benchmark(two, benchmark).collect()}

@@ -69,6 +69,11 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+def quoted(name: str) -> str:
+    """A column's name as one identifier, dots and all."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def filter_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list]]) -> DataFrame:
     """Keep the rows for which a function of (doc_id, text) batches says so.
 
@@ -89,7 +94,21 @@ def filter_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], lis
                 if out.num_rows:
                     yield out
 
-    return df.mapInArrow(run, types)
+    return map_by_place(df, run, types)
+
+
+def map_by_place(df: DataFrame, run: Callable, types) -> DataFrame:
+    """``mapInArrow`` over all columns, whatever they are called (a dot in a name is no path there)."""
+    from pyspark.sql.types import StructField, StructType
+
+    plain = StructType([StructField(f"c{i}", f.dataType) for i, f in enumerate(types.fields)])
+
+    def renamed(batches):
+        for batch in run(pa.RecordBatch.from_arrays(b.columns, names=df_names) for b in batches):
+            yield pa.RecordBatch.from_arrays(batch.columns, names=plain.names)
+
+    df_names = df.columns
+    return df.toDF(*[f"c{i}" for i in range(len(df_names))]).mapInArrow(renamed, plain).toDF(*types.names)
 
 
 def file_system(folder: str):

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import by_slice, free_name
+from millrace.llm.common import by_slice, free_name, quoted
 from millrace.session import materialize
 
 MIN_WORDS = 15
@@ -133,4 +133,4 @@ def remove_repeats(docs: DataFrame, unit: str = "line", min_words: int = MIN_WOR
     ends = F.concat(F.transform(spans, lambda r: r.start), F.array(F.length("text").cast("bigint")))
     pieces = F.zip_with(begins, ends, lambda a, b: F.substring(F.col("text"), (a + 1).cast("int"), (b - a).cast("int")))
     joined = rows.join(cut, key).withColumn("text", F.array_join(pieces, ""))
-    return joined.select(*docs.columns, spans)
+    return joined.select(*[quoted(c) for c in docs.columns], spans)

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import by_slice, free_name, id_and_text, slices_of
+from millrace.llm.common import by_slice, free_name, id_and_text, map_by_place, slices_of
 from millrace.session import materialize
 
 WINDOW = 8  # terms on each side of a value
@@ -236,7 +236,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
             columns = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in kept]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return joined.mapInArrow(run, schema)
+    return map_by_place(joined, run, schema)
 
 
 def generalise(text: str, spans) -> str:

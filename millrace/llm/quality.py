@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from millrace.llm.common import by_slice, file_system, free_name, slices_of
+from millrace.llm.common import by_slice, file_system, free_name, map_by_place, quoted, slices_of
 from millrace.session import materialize, scratch_path
 
 ORDER = 4
@@ -495,9 +495,9 @@ def keep_good(docs: DataFrame) -> DataFrame:
                 done += part.num_rows
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    measured = materialize(docs.mapInArrow(run, schema), "measured")
+    measured = materialize(map_by_place(docs, run, schema), "measured")
     limits = bands(measured.select(F.col(lang).alias("lang"), F.col(failed).alias("base_failed"), F.col(score).alias("log_ppl")))
     limits = limits.select(F.col("lang").alias(lang), F.struct("low", "high").alias(band))  # at most LANGUAGES + 1 rows
     inside = F.col(score).between(F.col(f"{band}.low"), F.col(f"{band}.high"))
     kept = measured.join(F.broadcast(limits), lang, "left").where(~F.col(failed) & F.coalesce(inside, F.lit(True)))
-    return kept.select(*[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns])
+    return kept.select(*[F.col(quoted(c)) for c in docs.columns])

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import similar
-from millrace.llm.common import by_slice, free_name, id_and_text, slices_of
+from millrace.llm.common import by_slice, free_name, id_and_text, quoted, slices_of
 from millrace.llm.graph import components
 from millrace.session import materialize
 
@@ -331,7 +331,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     kept = marked.join(winners, same, "left_semi")
     order = Window.partitionBy("doc_id", name).orderBy(*[F.col(f"`{c}`") for c in docs.columns])
     rank = free_name(docs, "rank_of_copy")
-    return kept.withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return kept.withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1).select(*[F.col(quoted(c)) for c in docs.columns])
 
 
 def keep_one_similar(docs: DataFrame, shingle: int = similar.SHINGLE, similarity: float = similar.SIMILARITY) -> DataFrame:
@@ -350,8 +350,9 @@ def keep_one_similar(docs: DataFrame, shingle: int = similar.SHINGLE, similarity
     again = materialize(rows.join(again, matched).select("row_key", "__doc", "__fp").distinct(), "repeated")
     if again.isEmpty():
         return kept
-    order = Window.partitionBy("__doc", "__fp").orderBy(*[F.col(f"`{c}`") for c in docs.columns])
-    rank = free_name(docs, "rank_of_copy")
-    copies = similar.rows_of(kept, again, "left_semi").join(again, similar.row_key(kept) == F.col("row_key"))
-    first = copies.withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
+    key, doc, fp, rank = (free_name(docs, c) for c in ("copy_key", "copy_doc", "copy_fp", "rank_of_copy"))
+    order = Window.partitionBy(doc, fp).orderBy(*[F.col(quoted(c)) for c in docs.columns])
+    named = again.toDF(key, doc, fp)
+    copies = similar.rows_of(kept, again, "left_semi").join(named, similar.row_key(kept) == F.col(key))
+    first = copies.withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1).select(*[F.col(quoted(c)) for c in docs.columns])
     return similar.rows_of(kept, again, "left_anti").unionByName(first)

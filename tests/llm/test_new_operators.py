@@ -11,7 +11,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from millrace.llm import queries, secret_scan, spelling, whitening
+import corpus_pipeline
+from millrace.llm import lines, queries, secret_scan, simhash, spelling, whitening
 from millrace.session import scratch_path
 from tests.llm.conftest import HARD
 
@@ -287,3 +288,23 @@ def test_hard_rows_and_empty_tables(spark, hard, empty, tmp_path, name):
             assert collections.Counter(r.doc_id for r in got) == collections.Counter(i for i, _, _ in HARD[:n])
         else:
             assert {tuple(r) for r in got} == plain_variants(plain_words([(i, t) for i, t, _ in HARD[:n]]))
+
+
+@pytest.mark.parametrize("function", ["stages", "remove_repeats", "keep_one_similar"])
+def test_clashing_names_pass_through(spark, tmp_path, function):
+    """Every stage over columns with the operators' own names, a dotted name, null and repeated rows, and no rows."""
+    own = ["row_key", "__key", "__doc", "__id", "__fp", "a.b", "wanted_key", "copy_key", "fp", "row"]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"`{c}` string" for c in own)
+    rows = [(i, t, g, "s", 0, *own) for i, t, g in HARD]
+    benchmark = spark.createDataFrame([(1, None), (2, ""), (3, "no id here " * 5)], "item_id bigint, text string")
+    benchmark.write.parquet(f"{tmp_path}/benchmark.parquet")
+    for df in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
+        if function == "stages":
+            outs = [stage(spark, df, str(tmp_path)) for _, stage in corpus_pipeline.STAGES[:-1]]
+        elif function == "remove_repeats":
+            outs = [lines.remove_repeats(df).drop("removed_spans")]
+        else:
+            outs = [simhash.keep_one_similar(df)]
+        for out in outs:
+            assert out.columns == df.columns
+            assert {tuple(r)[5:] for r in out.collect()} <= {tuple(own)}

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions
 from pyspark.sql.types import StructType
 
 from millrace.operators.incremental import MarkStore
+from millrace.operators.joins import unmatched
 from millrace.operators.windows import Order, latest_per_key
 from millrace.session import materialize
 from millrace.sources.files import write_table
@@ -28,11 +29,10 @@ def merge(target: DataFrame, changes: DataFrame, keys: list[str], order: Order)
     """Target with matched rows replaced and new keys added.
 
     Only the newest change per key counts. Target rows without a change pass through one
-    anti join on the distinct changed keys.
+    anti join on the distinct changed keys, spread over many tasks for hot keys.
     """
     newest = latest_changes(changes, keys, order).select(*target.columns)
-    changed = changes.select(*keys).distinct()
-    untouched = target.join(changed, same_keys(target, changed, keys), "left_anti")
+    untouched = unmatched(target, changes, [(k, k) for k in keys])
     return untouched.unionByName(newest)
 
 

@@ -6,6 +6,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
+from millrace.operators.hotkeys import spread_join
+from millrace.operators.joins import outer_join
 from millrace.operators.windows import latest_per_key
 from millrace.sources.files import read_table, transform_sql, write_table
 
@@ -50,10 +52,18 @@ def combine_sources(
     dedupe_order: list[tuple[str, bool]] | None = None,
     how: str = "inner",
 ) -> DataFrame:
-    """Join N sources on shared keys, filter, project, stamp and drop repeated rows."""
+    """Join N sources on shared keys, filter, project, stamp and drop repeated rows.
+
+    ``how`` is inner, left, right or full; the keys of an outer join are those of either side. Rows of hot
+    keys are dealt over many tasks.
+    """
     out = sources[0]
     for other in sources[1:]:
-        out = out.join(other, keys, how)
+        renamed = other.withColumnsRenamed({k: f"__r_{k}" for k in keys})
+        pairs = [(k, f"__r_{k}") for k in keys]
+        joined = spread_join(out, renamed, pairs) if how == "inner" else outer_join(out, renamed, pairs, how)
+        named = [F.coalesce(k, f"__r_{k}").alias(k) for k in keys]
+        out = joined.select(*named, *[c for c in joined.columns if c not in keys and not c.startswith("__r_")])
     if where is not None:
         out = out.where(where)
     if columns:

@@ -1,9 +1,9 @@
 """Join helpers that stay balanced when one key holds a large share of the rows.
 
-Adaptive execution can split a skewed partition on the side whose rows are all kept
-or matched one by one: both sides of an inner join, the left of a left, semi or anti
-join. It cannot split the other side of an outer join. The outer joins here are
-therefore an inner join plus the unmatched rows found by an anti join on distinct keys.
+Inner joins are split by adaptive execution where both sides come straight from a shuffle. It cannot split
+the kept side of an outer join, nor a join whose other side is aggregated on the join key in the same stage.
+The outer joins here are an inner join plus the unmatched rows found by an anti join on distinct keys, and
+both deal the rows of hot keys over many tasks by themselves (``hotkeys``).
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from millrace.operators.hotkeys import spread_join
 from millrace.session import plan_bytes, shuffle_partitions
 
 MB = 1024 * 1024
@@ -33,10 +34,25 @@ def _padded(df: DataFrame, schema_of: DataFrame) -> DataFrame:
 
 
 def unmatched(left: DataFrame, right: DataFrame, on: list[tuple[str, str]]) -> DataFrame:
-    """Rows of ``left`` without a partner in ``right``."""
-    keys = right.select(*[F.col(r).alias(f"__k{i}") for i, (_, r) in enumerate(on)]).distinct()
+    """Rows of ``left`` without a partner in ``right``, those with a null key among them."""
+    keys = right.select(*[F.col(r).alias(f"__k{i}") for i, (_, r) in enumerate(on)])
+    keys = keys.dropna("any").distinct()
     pairs = [(l, f"__k{i}") for i, (l, _) in enumerate(on)]
-    return left.join(keys, key_condition(left, keys, pairs), "left_anti")
+    return spread_join(left, keys, pairs, "left_anti", right_unique=True)
+
+
+def not_in(left: DataFrame, column: str, values: DataFrame, value: str) -> DataFrame:
+    """Rows of ``left`` for which ``column NOT IN (SELECT value FROM values)`` is true, by SQL's rule for nulls.
+
+    No values: every row, also a null one. A null among the values: no row, since no comparison with it is
+    false. Otherwise the rows with a known value that is not among them. The two flags are scalar subqueries,
+    the rest is an anti join; no row is compared with all values.
+    """
+    found = values.select(F.col(value).alias("__value"))
+    none = found.agg((F.count(F.lit(1)) == 0).alias("none")).scalar()
+    unknown = found.agg((F.count(F.when(F.col("__value").isNull(), 1)) > 0).alias("unknown")).scalar()
+    lone = unmatched(left, found, [(column, "__value")])
+    return lone.where(none | (~unknown & F.col(column).isNotNull()))
 
 
 def outer_join(left: DataFrame, right: DataFrame, on: list[tuple[str, str]], how: str) -> DataFrame:
@@ -47,7 +63,7 @@ def outer_join(left: DataFrame, right: DataFrame, on: list[tuple[str, str]], how
     if how not in ("left", "right", "full"):
         raise ValueError(f"unknown outer join kind: {how}")
     columns = left.columns + right.columns
-    parts = [left.join(right, key_condition(left, right, on), "inner").select(*columns)]
+    parts = [spread_join(left, right, on).select(*columns)]
     if how in ("left", "full"):
         parts.append(_padded(unmatched(left, right, on), right).select(*columns))
     if how in ("right", "full"):

@@ -14,6 +14,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from millrace.operators.hotkeys import spread_join
 from millrace.session import materialize, plan_bytes, shuffle_partitions
 
 HOT_ROWS = 5_000_000
@@ -260,11 +261,12 @@ def group_totals(df: DataFrame, keys: list[str], aggs: dict[str, Column]) -> Dat
     """Aggregates of the whole group beside each row.
 
     An aggregate with map-side combine and a join back, instead of a window: no group is
-    gathered in one task, and the joined side has one row per key.
+    gathered in one task, the joined side has one row per key, and the rows of hot keys are
+    dealt over many tasks.
     """
     totals = df.groupBy(*keys).agg(*[expr.alias(name) for name, expr in aggs.items()])
     totals = _renamed(totals, keys, "__g_")
-    joined = df.join(totals, null_safe(df, totals, keys, "__g_"), "inner")
+    joined = spread_join(df, totals, [(k, f"__g_{k}") for k in keys], right_unique=True, null_safe=True)
     return joined.drop(*[f"__g_{k}" for k in keys])
 
 

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, functions as F
 
 from millrace.operators import cdc
+from millrace.operators.file_table import FileTable, apply_changes, stream_into
 from millrace.operators.incremental import MarkStore
 from millrace.plans.derived import CUSTOMER_CHANGES, customer_changes
 from millrace.plans.registry import Tables, plan
@@ -29,8 +30,19 @@ def _job_target(t: Tables) -> tuple[str, MarkStore]:
     return f"{db}.customer", MarkStore(t.spark, f"{root}/marks")
 
 
+def _files(t: Tables, strategy: str) -> DataFrame:
+    """Load the first changes, then the rest, into a table of files that has no state at first."""
+    changes = customer_changes(t)
+    table = FileTable(t.spark, scratch_path(t.spark, "customer-files"), changes.schema, ["c_custkey"])
+    for cut in ("1998-01-01", "2010-01-01"):
+        arrived = changes.where(F.col("seq") < F.lit(cut).cast("timestamp_ntz"))
+        apply_changes(table, arrived, "seq", [("tie", False)], strategy)
+    apply_changes(table, changes, "seq", [("tie", False)], strategy)
+    return table.read().select(*COLUMNS.split(", "), "tie")
+
+
 def _run(t: Tables, strategy: str) -> DataFrame:
-    """Load the first changes, then the rest, into a table that does not exist at first."""
+    """Load the first changes, then the rest, into a catalog table that does not exist at first."""
     table, marks = _job_target(t)
     changes = customer_changes(t)
     for cut in ("1998-01-01", "2010-01-01"):
@@ -42,9 +54,29 @@ def _run(t: Tables, strategy: str) -> DataFrame:
 
 @plan("cdc_upsert", f"WITH {LATEST} SELECT {COLUMNS}, tie FROM last")
 def cdc_upsert(t: Tables) -> DataFrame:
+    return _files(t, "upsert")
+
+
+@plan("cdc_catalog_upsert", f"WITH {LATEST} SELECT {COLUMNS}, tie FROM last")
+def cdc_catalog_upsert(t: Tables) -> DataFrame:
     return _run(t, "upsert")
 
 
+@plan("cdc_stream", f"WITH {LATEST} SELECT {COLUMNS}, tie FROM last")
+def cdc_stream(t: Tables) -> DataFrame:
+    """The changes arrive as a stream of files and are merged batch by batch; the job is started twice."""
+    changes = customer_changes(t)
+    root = scratch_path(t.spark, "cdc-stream")
+    table = FileTable(t.spark, f"{root}/table", changes.schema, ["c_custkey"])
+    table.create(changes.limit(0))
+    early = F.col("seq") < F.lit("1998-01-01").cast("timestamp_ntz")
+    for part in (changes.where(early), changes.where(~early)):
+        part.repartition(4, "c_custkey").write.mode("append").parquet(f"{root}/arrivals")
+        arriving = t.spark.readStream.schema(changes.schema).option("maxFilesPerTrigger", 4).parquet(f"{root}/arrivals")
+        stream_into(table, arriving, "customer_changes", NEWEST_FIRST, f"{root}/offsets").awaitTermination()
+    return table.read().select(*COLUMNS.split(", "), "tie")
+
+
 @plan("cdc_append", f"SELECT {COLUMNS}, tie FROM ({CUSTOMER_CHANGES})")
 def cdc_append(t: Tables) -> DataFrame:
     return _run(t, "append")
@@ -60,7 +92,7 @@ def cdc_append(t: Tables) -> DataFrame:
     """,
 )
 def cdc_merge_dedup(t: Tables) -> DataFrame:
-    return _run(t, "merge")
+    return _files(t, "merge")
 
 
 @plan(

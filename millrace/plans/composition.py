@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from millrace.operators import cdc
+from millrace.operators.file_table import FileTable
 from millrace.operators.hierarchy import hierarchy
 from millrace.plans.aggregates import money
 from millrace.plans.derived import CUSTOMER_CHANGES, customer_changes
 from millrace.plans.registry import Tables, plan
+from millrace.session import scratch_path
 
 
 @plan(
@@ -135,6 +137,24 @@ def unpivot(t: Tables) -> DataFrame:
     """,
 )
 def merge_into(t: Tables) -> DataFrame:
+    """Only the files of the target that hold a changed key are written anew."""
+    table = FileTable(t.spark, scratch_path(t.spark, "merge-target"), t.customer.schema, ["c_custkey"])
+    table.create(t.customer)
+    table.upsert(customer_changes(t), [("seq", False), ("tie", False)])
+    return table.read().select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
+
+
+@plan(
+    "merge_frames",
+    f"""
+    WITH changes AS ({CUSTOMER_CHANGES}),
+    last AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY c_custkey ORDER BY seq DESC, tie DESC) AS rn FROM changes) WHERE rn = 1)
+    SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM last
+    UNION ALL SELECT * FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM last)
+    """,
+)
+def merge_frames(t: Tables) -> DataFrame:
+    """The same merge as a frame, for targets that are not files."""
     return cdc.merge(
         t.customer, customer_changes(t), ["c_custkey"], [("seq", False), ("tie", False)]
     )

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from millrace.operators import joins as jn
 from millrace.operators.expressions import cast_to
+from millrace.operators.hotkeys import spread_join
 from millrace.plans.registry import Tables, plan
 
 CUST_ORDER = [("c_custkey", "o_custkey")]
@@ -176,9 +179,7 @@ def join_chain(t: Tables) -> DataFrame:
 )
 def semi_join_in(t: Tables) -> DataFrame:
     buyers = t.orders.where(F.col("o_totalprice") > 250000).select("o_custkey").distinct()
-    return t.customer.join(buyers, F.col("c_custkey") == F.col("o_custkey"), "left_semi").select(
-        "c_custkey", "c_name"
-    )
+    return spread_join(t.customer, buyers, CUST_ORDER, "left_semi", right_unique=True).select("c_custkey", "c_name")
 
 
 @plan(
@@ -193,6 +194,32 @@ def anti_join_not_in(t: Tables) -> DataFrame:
     return jn.unmatched(t.customer, big, CUST_ORDER).select("c_custkey", "c_name")
 
 
+# rows to look up, and three lists of values: with a null, without one, and none at all
+_LISTS = """
+    lists AS (
+        SELECT 'with null' AS list, CASE WHEN o_custkey % 7 > 0 THEN o_custkey END AS v FROM orders WHERE o_totalprice > 300000
+        UNION ALL SELECT 'known', o_custkey FROM orders WHERE o_totalprice > 300000),
+    people AS (SELECT CASE WHEN c_custkey % 11 > 0 THEN c_custkey END AS k, c_name FROM customer)
+"""
+
+
+@plan(
+    "not_in_nulls",
+    f"""
+    WITH {_LISTS}
+    SELECT 'with null' AS list, k, c_name FROM people WHERE k NOT IN (SELECT v FROM lists WHERE list = 'with null')
+    UNION ALL SELECT 'known', k, c_name FROM people WHERE k NOT IN (SELECT v FROM lists WHERE list = 'known')
+    UNION ALL SELECT 'empty', k, c_name FROM people WHERE k NOT IN (SELECT v FROM lists WHERE list = 'empty')
+    """,
+)
+def not_in_nulls(t: Tables) -> DataFrame:
+    people = t.customer.select(F.when(F.col("c_custkey") % 11 > 0, F.col("c_custkey")).alias("k"), "c_name")
+    known = t.orders.where(F.col("o_totalprice") > 300000).select(F.col("o_custkey").alias("v"))
+    lists = {"with null": known.select(F.when(F.col("v") % 7 > 0, F.col("v")).alias("v")), "known": known, "empty": known.limit(0)}
+    parts = [jn.not_in(people, "k", values, "v").select(F.lit(name).alias("list"), "k", "c_name") for name, values in lists.items()]
+    return reduce(DataFrame.unionAll, parts)
+
+
 @plan(
     "scalar_subquery",
     """
@@ -202,7 +229,7 @@ def anti_join_not_in(t: Tables) -> DataFrame:
 )
 def scalar_subquery(t: Tables) -> DataFrame:
     counts = t.orders.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
-    return t.customer.join(counts, F.col("c_custkey") == F.col("o_custkey"), "left").select(
+    return jn.outer_join(t.customer.select("c_custkey"), counts, CUST_ORDER, "left").select(
         "c_custkey", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_orders")
     )
 

@@ -75,28 +75,21 @@ def test_pair_with_all(spark):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
-def test_skewed_inner_join_is_split(spark):
-    """Adaptive execution cuts the hot partition of the inner part of an outer join."""
-    keep = {
-        k: spark.conf.get(k)
-        for k in (
-            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes",
-            "spark.sql.adaptive.advisoryPartitionSizeInBytes",
-            "spark.sql.autoBroadcastJoinThreshold",
-            "spark.sql.adaptive.skewJoin.skewedPartitionFactor",
-        )
-    }
+def test_hot_key_of_an_outer_join_is_spread_without_adaptive_splits(spark):
+    """Two thirds of the rows hold one key; no task gets a large share of what is joined."""
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
     try:
-        spark.conf.set("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "20KB")
-        spark.conf.set("spark.sql.adaptive.skewJoin.skewedPartitionFactor", "2")
-        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "10KB")
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        for k, v in zip(keep, ("false", "-1"), strict=True):
+            spark.conf.set(k, v)
         i = F.col("id")
         many = spark.range(0, 60000, 1, 8).select(F.when(i % 3 > 0, 7).otherwise(i % 1000).alias("rk"), F.md5(i.cast("string")).alias("rv"))
         few = spark.range(2000).select(i.alias("lk"))
         joined = jn.outer_join(few, many, [("lk", "rk")], "left")
-        assert "skew=true" in executed_plan(joined)
-        assert joined.count() == few.join(many, few.lk == many.rk, "left").count()
+        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+        assert max(sizes) < 0.45 * sum(sizes)
+        native = few.join(many, few.lk == many.rk, "left")
+        assert sum(sizes) == native.count()
+        assert max(r["count"] for r in native.groupBy(F.spark_partition_id()).count().collect()) > 0.6 * sum(sizes)
     finally:
         for k, v in keep.items():
             spark.conf.set(k, v)

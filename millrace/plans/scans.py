@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from millrace.operators.etl import combine_sources, run_etl
 from millrace.plans.registry import Tables, plan
 from millrace.session import scratch_path
-from millrace.sources import files
+from millrace.sources import delta_log, files
 
 CUSTOMER = "c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment"
 
@@ -86,6 +86,37 @@ def scan_orc(t: Tables) -> DataFrame:
     return _round_trip(t, "part", "orc")
 
 
+KEPT = "l_returnflag IN ('A', 'N') OR l_quantity > 25"
+
+
+@plan(
+    "scan_delta",
+    f"SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag FROM lineitem WHERE {KEPT}",
+)
+def scan_delta(t: Tables) -> DataFrame:
+    """A table with a log: partitioned files are added, a checkpoint is made, files are removed and others added."""
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
+    table = scratch_path(t.spark, "lineitem-log")
+
+    def add(df: DataFrame, name: str) -> list[dict]:
+        df.write.partitionBy("l_returnflag").parquet(f"{table}/{name}")
+        found = t.spark.read.schema("l_orderkey bigint").option("recursiveFileLookup", True).parquet(f"{table}/{name}")
+        paths = [r[0] for r in found.select(F.col("_metadata.file_path")).distinct().collect()]
+        below = [p[p.index(f"/{name}/") + 1 :] for p in sorted(paths)]
+        return [{"add": {"path": p, "partitionValues": {"l_returnflag": p.split("l_returnflag=")[1][:1]}, "size": 1}} for p in below]
+
+    first = add(rows, "one")
+    head = [{"protocol": {"minReaderVersion": 1}}, delta_log.metadata_of(rows.schema, ["l_returnflag"])]
+    delta_log.write_commit(t.spark, table, 0, head + first)
+    returned = [e["add"]["path"] for e in first if e["add"]["partitionValues"]["l_returnflag"] == "R"]
+    half = [{"remove": {"path": p}} for p in returned]
+    delta_log.write_commit(t.spark, table, 1, half)
+    delta_log.write_checkpoint(t.spark, table, 1)
+    again = add(rows.where("l_returnflag = 'R' AND l_quantity > 25"), "two")
+    delta_log.write_commit(t.spark, table, 2, again)
+    return delta_log.read_delta(t.spark, table)
+
+
 def _fresh_database(t: Tables) -> str:
     name = f"millrace_{uuid.uuid4().hex[:12]}"
     return files.ensure_database(t.spark, name, scratch_path(t.spark, "db"))

@@ -9,6 +9,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+from millrace.session import path_exists
+from millrace.sources.delta_log import read_delta
+
 BUILT_IN_FORMATS = ("parquet", "csv", "json", "orc")
 EXTRA_FORMATS = ("avro", "delta")  # need a module that is not part of the Spark distribution
 
@@ -62,8 +65,13 @@ def read_table(
         reader = reader.option("mode", "DROPMALFORMED")
     for name, value in options.items():
         reader = reader.option(name, value)
-    with _named_if_missing(fmt):
-        return reader.load(path)
+    try:
+        with _named_if_missing(fmt):
+            return reader.load(path)
+    except MissingFormat:
+        if fmt != "delta" or schema is not None or options or not path_exists(spark, f"{path.rstrip('/')}/_delta_log"):
+            raise
+        return read_delta(spark, path)  # by its log, without the module
 
 
 def write_table(

@@ -337,10 +337,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
 def keep_one_similar(docs: DataFrame, shingle: int = similar.SHINGLE, similarity: float = similar.SIMILARITY) -> DataFrame:
     """One document of each group of texts whose shingle sets are similar, chosen as by ``keep_one``."""
     found = materialize(similar.with_prefixes(docs, shingle, similarity), "prefixes")
-    groups = fingerprint_groups(found.select("doc_id", "fp"), similar.links(docs, found, shingle, similarity)).where("keeper")
+    rows = materialize(found.select("doc_id", "row_key", "fp", "n"), "set-digests")
+    groups = fingerprint_groups(rows.select("doc_id", "fp"), similar.links(docs, found, rows, shingle, similarity)).where("keeper")
     winners = groups.select(F.col("component_id").alias("__id"), F.col("fp").alias("__fp"))
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("fp") == F.col("__fp"))
-    rows = found.select("doc_id", "fp", "row_key")
     losers = materialize(rows.join(winners, same, "left_anti").select("row_key").distinct(), "losers")
     kept = similar.rows_of(docs, losers, "left_anti")
     # texts stay where they are, but for rows that repeat both the id and the set of a kept one

@@ -61,14 +61,16 @@ def spread(
     right_unique: bool = False,
     null_safe: bool = False,
     least_rows: int | None = None,
+    seen: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Both sides with a column ``__cell`` (left) and ``__cell_r`` (right) to be joined beside the keys.
 
     A right side of one row per key (``right_unique``) is not looked at for hot keys. Rows of the left side
     with a null key, which meet nothing unless the join is ``null_safe``, are dealt over cells of their own.
+    ``seen`` has the left side's keys as often as the left side, where that is cheaper to read twice.
     """
     lefts, rights = [l for l, _ in on], [r for _, r in on]
-    hot = hot_keys(left, lefts, "__lines", least_rows, null_safe).withColumn("__columns", F.lit(1))
+    hot = hot_keys(left if seen is None else seen, lefts, "__lines", least_rows, null_safe).withColumn("__columns", F.lit(1))
     if not right_unique:
         other = hot_keys(right, rights, "__columns", least_rows, null_safe)
         hot = hot.unionByName(other.select("__hot", F.lit(1).alias("__lines"), "__columns"))
@@ -98,17 +100,18 @@ def spread_join(
     right_unique: bool = False,
     null_safe: bool = False,
     least_rows: int | None = None,
+    seen: DataFrame | None = None,
 ) -> DataFrame:
     """Inner, left_semi or left_anti equi-join, spread; column names of the sides must not overlap.
 
     Semi and anti joins need a right side of one row per key: then no left row is copied, and none can be
-    kept in one cell and dropped in another. ``null_safe`` lets null keys meet.
+    kept in one cell and dropped in another. ``null_safe`` lets null keys meet; ``seen`` as in ``spread``.
     """
     if how not in ("inner", "left_semi", "left_anti"):
         raise ValueError(f"unknown kind of join: {how}")
     if how != "inner" and not right_unique:
         raise ValueError(f"{how} needs a right side of one row per key")
-    a, b = spread(left, right, on, right_unique, null_safe, least_rows)
+    a, b = spread(left, right, on, right_unique, null_safe, least_rows, seen)
     same = [(a[l].eqNullSafe(b[r]) if null_safe else a[l] == b[r]) for l, r in on]
     joined = a.join(b, reduce(lambda x, y: x & y, [*same, a["__cell"] == b["__cell_r"]]), how)
     return joined.drop("__cell", "__cell_r")

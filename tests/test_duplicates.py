@@ -1,4 +1,5 @@
 import difflib
+import itertools
 
 import numpy as np
 import pytest
@@ -57,39 +58,99 @@ def few_texts(spark, tables):
     return blocks.groupBy("text").agg(F.min("block_id").alias("id"))
 
 
+def word_pairs(text):
+    words = text.lower().split(" ")
+    return set(zip(words, words[1:])) or {(words[0], "")}
+
+
+def all_similar(texts, share=0.6):
+    """{(member, leader): ratio} of all pairs, one by one."""
+    sets = {i: word_pairs(t) for i, t in texts.items() if t is not None}
+    found = {}
+    for a in sets:
+        for b in sets:
+            ratio = 2 * len(sets[a] & sets[b]) / (len(sets[a]) + len(sets[b]))
+            if a > b and ratio >= share:
+                found[a, b] = ratio
+    return found
+
+
+def joined(links):
+    """{id: smallest id reached} of the ids in links."""
+    label = {i: i for pair in links for i in pair}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in links:
+            low = min(label[a], label[b])
+            changed |= label[a] != low or label[b] != low
+            label[a] = label[b] = low
+    return label
+
+
 def test_near_duplicates_against_all_pairs(few_texts):
     texts = {r.id: r.text for r in few_texts.collect()}
-    ids = sorted(texts)
     found = {(r.member, r.leader): r.ratio for r in du.near_duplicates(few_texts).collect()}
-    for (member, leader), ratio in found.items():
-        assert leader < member and ratio >= du.SIMILARITY
-        assert ratio == difflib.SequenceMatcher(None, texts[leader], texts[member], autojunk=False).ratio()
+    assert found and found == all_similar(texts)
+    # the share of word pairs stands for eight in ten matching characters
     similar = set()
-    for n, a in enumerate(ids):
+    for a in texts:
         matcher = difflib.SequenceMatcher(None, "", texts[a], autojunk=False)
-        for b in ids[n + 1 :]:
-            if 2 * min(len(texts[a]), len(texts[b])) >= 0.8 * (len(texts[a]) + len(texts[b])):
+        for b in texts:
+            if a < b and 2 * min(len(texts[a]), len(texts[b])) >= 0.8 * (len(texts[a]) + len(texts[b])):
                 matcher.set_seq1(texts[b])
                 if matcher.quick_ratio() >= 0.8 and difflib.SequenceMatcher(None, texts[a], texts[b], autojunk=False).ratio() >= 0.8:
                     similar.add((b, a))
-    assert similar
-    linked = {m for m, _ in found}
-    # texts of one or two words share no word pair; all longer ones must be found
-    long = {m for m, l in similar if min(len(texts[m].split()), len(texts[l].split())) > 4}
-    assert len(long & linked) >= 0.9 * len(long)
-
-
-def test_many_copies_and_unlike_texts_in_one_bucket(spark, monkeypatch):
-    """All texts share a bucket: two families of near copies and some unlike texts."""
-    base_a, base_b = "alpha beta gamma delta " * 12, "one two three four five " * 12
-    texts = [(i, f"{base_a}{i}") for i in range(0, 40)] + [(i, f"{base_b}{i}") for i in range(40, 80)]
-    texts += [(80 + i, chr(97 + i) * 200) for i in range(10)]
-    df = spark.createDataFrame(texts, "id bigint, text string")
-    monkeypatch.setattr(du, "band_keys", lambda *a: F.array(F.lit(1).cast("bigint"), F.lit(2).cast("bigint")))
-    got = {(r.member, r.leader) for r in du.near_duplicates(df).collect()}
-    assert {(i, 0) for i in range(1, 40)} | {(i, 40) for i in range(41, 80)} <= got
-    labels = dict(rows(du.components(du.near_duplicates(df)), "id", "group_id"))
-    assert labels == {**{i: 0 for i in range(40)}, **{i: 40 for i in range(40, 80)}}
+    long = {(b, a) for b, a in similar if min(len(texts[a].split()), len(texts[b].split())) > 4}
+    assert long and len(long & set(found)) >= 0.9 * len(long)
+
+
+@pytest.mark.parametrize("words", [3, 40])
+def test_random_texts_in_large_buckets(spark, words):
+    """Few words: nearly all texts meet. Many links, repeated texts, empty and null ones."""
+    rng = np.random.default_rng(words)
+    texts = {i: " ".join(f"w{w}" for w in rng.integers(0, words, rng.integers(1, 9))) for i in range(150)}
+    texts |= {150: "", 151: None, 152: "W1 w2", 153: " ".join(f"w{i % 7}" for i in range(3000))}
+    frame = spark.createDataFrame(list(texts.items()), "id bigint, text string")
+    expected = all_similar(texts)
+    assert {(r.member, r.leader): r.ratio for r in du.near_duplicates(frame).collect()} == expected
+    chains = {(r.member, r.leader): r.ratio for r in du.group_links(frame).collect()}
+    assert chains.items() <= expected.items()
+    assert joined(chains) == joined(expected)
+    groups = dict(rows(du.similar_groups(frame.withColumnRenamed("id", "block_id"))))
+    assert {i: g for i, g in groups.items() if i in joined(expected)} == joined(expected)
+
+
+def test_chains_in_one_bucket_are_one_group(spark):
+    """A ~ B ~ C, A and C unlike, all sharing word pairs, whichever of them has the smallest id."""
+    texts = {}
+    for n, order in enumerate(itertools.permutations(range(3))):
+        words = [f"{n}x{i}" for i in range(30)]
+        chain = [words[0:20], words[5:25], words[10:30]]
+        texts |= {10 * n + place: " ".join(chain[i]) for place, i in enumerate(order)}
+    assert len(all_similar(texts)) == 12  # two of three pairs each
+    frame = spark.createDataFrame(list(texts.items()), "block_id bigint, text string")
+    assert dict(rows(du.similar_groups(frame))) == {i: i // 10 * 10 for i in texts}
+
+
+def test_a_family_of_near_copies_is_grouped_by_few_links(spark):
+    base = " ".join(f"base{i}" for i in range(30))
+    texts = [(i, f"{base} own{i}") for i in range(400)] + [(400 + i, f"base0 base1 other{i} word{i} left{i}") for i in range(400)]
+    frame = spark.createDataFrame(texts, "id bigint, text string")
+    links = du.group_links(frame)
+    assert links.count() < 4000  # all pairs of the family are 79,800
+    assert dict(rows(du.components(links), "id", "group_id")) == {i: 0 for i in range(400)}
+
+
+def test_unlike_texts_with_a_common_pair_do_not_meet(spark):
+    frame = spark.range(3000).selectExpr("id", "concat('in common a', id, ' b', id, ' c', id, ' d', id) AS text")
+    assert du._Prefixes(frame, du.pair_share(0.8)).places.count() == 0
+
+
+def test_similarity_has_a_range():
+    assert du.pair_share(0.8) == 0.6 and du.pair_share(1) == 1
+    with pytest.raises(ValueError, match="similarity"):
+        du.pair_share(0.5)
 
 
 def test_ids_of_lines_do_not_collide(spark):
@@ -99,22 +160,10 @@ def test_ids_of_lines_do_not_collide(spark):
     assert blocks.count() == blocks.select("block_id").distinct().count() == 1_000_005
 
 
-def test_what_is_found_does_not_depend_on_other_buckets(spark, monkeypatch):
-    """Unlike texts in one bucket are each compared, with or without many texts elsewhere."""
-    rng = np.random.default_rng(3)
-    unlike = ["".join(map(chr, rng.integers(97, 123, 60))) for _ in range(40)]
-    texts = [(i, t) for i, t in enumerate(unlike)] + [(100 + i, unlike[i] + "!") for i in range(40)]
-    others = [(1000 + i, f"zz {i:05d}") for i in range(300)]
-    key = F.when(F.col("id") < 1000, F.lit(-1)).otherwise(F.col("id")).cast("bigint")
-    monkeypatch.setattr(du, "band_keys", lambda *a: F.array(key))
-    for rows_ in (texts, texts + others):
-        found = du.near_duplicates(spark.createDataFrame(rows_, "id bigint, text string"))
-        assert sorted((r.member, r.leader) for r in found.collect()) == [(100 + i, i) for i in range(40)]
-
-
 def test_no_candidates(spark):
     df = spark.createDataFrame([(1, "a b c"), (2, "x y z")], "id bigint, text string")
-    assert du.near_duplicates(df).count() == 0
+    assert du.near_duplicates(df).count() == 0 and du.group_links(df).count() == 0
+    assert du.similar_groups(df.limit(0).withColumnRenamed("id", "block_id")).count() == 0
 
 
 def test_components_of_chains_and_rings(spark):

@@ -19,6 +19,7 @@ FAMILIES = (
     "schema",
     "layout",
     "corpus",
+    "sql_tokens",
     "review",
     "duplicates",
     "history",

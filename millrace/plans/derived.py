@@ -36,6 +36,24 @@ SQL_CORPUS = """
     FROM orders
 """
 
+# SQL statements whose strings, comments, quoted names and functions hold words and parentheses that
+# count for nothing; ~ stands for a quote and ^ for a line break until the last step.
+SQL_TOKEN_CORPUS = """
+    SELECT o_orderkey AS stmt_id, replace(replace(CASE CAST(o_orderkey % 10 AS INT)
+        WHEN 0 THEN concat('SELECT a.k, ~from hidden join nothing (~ AS note FROM sales.o_', o_orderstatus, ' a JOIN crm.customers c ON a.k = c.k -- join x.y^WHERE a.k = ', CAST(o_custkey AS VARCHAR(20)))
+        WHEN 1 THEN concat('WITH big AS (SELECT k FROM lake.t', CAST(o_custkey % 50 AS VARCHAR(20)), '), Small (k) AS MATERIALIZED (SELECT k FROM big) SELECT COUNT(*) FROM big, Small, "Dim ""x"" y" d WHERE d.note = ~it~~s (~')
+        WHEN 2 THEN concat('SELECT EXTRACT(YEAR FROM d), TRIM(BOTH ~ ~ FROM n), SUM(v) OVER (PARTITION BY k ORDER BY d) FROM a.b.c_', CAST(o_custkey % 7 AS VARCHAR(20)), ' /* join z.z ( */ ORDER BY 1')
+        WHEN 3 THEN concat('SELECT * FROM (SELECT DISTINCT k FROM s.t1, s.t2 x JOIN only t3 USING (k)) q WHERE k IS NOT DISTINCT FROM ~', CAST(o_custkey AS VARCHAR(20)), '~ ORDER BY k LIMIT 5')
+        WHEN 4 THEN concat('UPDATE t SET a = $$ it~s FROM nowhere $$ WHERE (b = 1)) ; SELECT DISTINCT * FROM app_db_eu_', CAST(o_custkey AS VARCHAR(20)), '_main m')
+        WHEN 5 THEN 'SELECT string_agg(x, ~,~ ORDER BY y) FROM generate_series(1, 9) g JOIN LATERAL (SELECT 1 FROM `odd name`) l ON true WHERE z = ~open string FROM t'
+        WHEN 6 THEN '-- nothing from here'
+        WHEN 7 THEN NULL
+        WHEN 8 THEN 'select case when a = 1 then case b when 2 then 3 end end from j1 join j2 on 1=1 join j3 on 1=1 join j4 on 1=1 join j5 on 1=1 join j6 on 1=1 join j7 on 1=1 order by count(1), (select max(x) from j1)'
+        ELSE concat('DELETE FROM t_', o_orderstatus, ' WHERE ts < cast(d as timestamp with time zone), k > 1 /* open comment from x')
+      END, '~', chr(39)), '^', chr(10)) AS sql
+    FROM orders
+"""
+
 # Files of SQL text, one per order: parts set off by dash lines, comment lines or blank
 # lines, or statements that only semicolons separate.
 SQL_FILES = """
@@ -99,6 +117,10 @@ def sql_corpus(t: Tables) -> DataFrame:
     return from_sql(t, SQL_CORPUS, "orders")
 
 
+def sql_token_corpus(t: Tables) -> DataFrame:
+    return from_sql(t, SQL_TOKEN_CORPUS, "orders")
+
+
 def code_corpus(t: Tables) -> DataFrame:
     return from_sql(t, CODE_CORPUS, "orders")
 

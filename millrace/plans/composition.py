@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from millrace.operators import cdc
 from millrace.operators.file_table import FileTable
-from millrace.operators.hierarchy import hierarchy
+from millrace.operators.hierarchy import hierarchy, levels
 from millrace.plans.aggregates import money
-from millrace.plans.derived import CUSTOMER_CHANGES, customer_changes
+from millrace.plans.derived import CUSTOMER_CHANGES, customer_changes, from_sql
 from millrace.plans.registry import Tables, plan
 from millrace.session import scratch_path
 
@@ -76,6 +76,28 @@ def connect_by(t: Tables) -> DataFrame:
     return _tree(t).select(F.col("node").alias("id"), "level", "root", path.alias("path"))
 
 
+# Chains of 300 customers, each below the one before, and pairs of suppliers that are each other's parent.
+DEEP_NODES = """
+    SELECT c_custkey AS id, CASE WHEN c_custkey % 300 = 0 THEN NULL ELSE c_custkey - 1 END AS parent_id FROM customer
+    UNION ALL SELECT -1 - s_suppkey, -2 - s_suppkey + 2 * (s_suppkey % 2) FROM supplier
+"""
+
+
+@plan(
+    "recursive_deep",
+    f"""
+    WITH RECURSIVE nodes AS ({DEEP_NODES}),
+    walk AS (SELECT id, CAST(1 AS BIGINT) AS level, id AS root FROM nodes WHERE parent_id IS NULL
+             UNION ALL SELECT n.id, w.level + 1, w.root FROM nodes n JOIN walk w ON n.parent_id = w.id)
+    SELECT n.id, n.parent_id, w.level, w.root, w.id IS NULL AS cyclic FROM nodes n LEFT JOIN walk w ON n.id = w.id
+    """,
+)
+def recursive_deep(t: Tables) -> DataFrame:
+    nodes = from_sql(t, DEEP_NODES, "customer", "supplier")
+    found = levels(nodes, "id", "parent_id", F.col("parent_id").isNull())
+    return found.select(F.col("node").alias("id"), F.col("parent").alias("parent_id"), "level", "root", "cyclic")
+
+
 @plan(
     "union_all",
     """

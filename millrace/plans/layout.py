@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from millrace.operators import layout as ly
+from millrace.operators import layout as ly, sketches as sk
 from millrace.plans.derived import FILE_PATHS, file_paths, from_sql
 from millrace.plans.registry import Tables, plan
 from millrace.plans.schema import TABLES, columns_of
@@ -234,6 +234,36 @@ def table_stats(t: Tables) -> DataFrame:
     return reduce(DataFrame.unionByName, [stats(name) for name in STAT_COLUMNS])
 
 
+ORDER_COLUMNS = [c for c, _ in STAT_COLUMNS["orders"]]
+
+
+def _grown(t: Tables) -> DataFrame:
+    """Statistics of a copy of ``orders`` that is refreshed, grows by a third, and is refreshed again."""
+    copy, store = scratch_path(t.spark, "grown"), scratch_path(t.spark, "sketches")
+    for part in ("o_orderkey % 3 > 0", "o_orderkey % 3 = 0"):
+        t.orders.where(part).write.mode("append").parquet(copy)
+        sk.refresh(t.spark, copy, store)
+    return sk.merged(t.spark, copy, store)
+
+
+@plan(
+    "stats_merged",
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, COUNT(*) AS n_rows, COUNT(*) - COUNT({c}) AS n_nulls, "
+        f"CAST(MIN({c}) AS VARCHAR) AS low, CAST(MAX({c}) AS VARCHAR) AS high FROM orders"
+        for c in ORDER_COLUMNS
+    ),
+)
+def stats_merged(t: Tables) -> DataFrame:
+    return _grown(t).select("column_name", "n_rows", "n_nulls", "low", "high")
+
+
+# Estimates: tests hold them against exact values.
+@plan("stats_estimates")
+def stats_estimates(t: Tables) -> DataFrame:
+    return _grown(t).select("column_name", "n_distinct", "quartiles")
+
+
 @plan("table_sizes")
 def table_sizes(t: Tables) -> DataFrame:
     return ly.table_sizes(t.spark, {name: t.path(name) for name in STAT_COLUMNS})

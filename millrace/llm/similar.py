@@ -27,8 +27,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import by_slice, forget, free_name
-from millrace.session import materialize
+from millrace.llm.common import by_slice, free_name
+from millrace.session import forget, materialize
 
 SHINGLE = 5
 SIMILARITY = 0.8

@@ -124,3 +124,21 @@ def test_one_shuffle_by_statement(spark, tables):
     plan = executed_plan(st.features(st.token_table(whole, "stmt_id", "sql"), "stmt_id"))
     final = plan.split("Initial Plan")[0]
     assert final.count("hashpartitioning") == 1 and "Python" not in final
+
+
+def test_tokens_are_neither_sorted_nor_moved(spark, tables):
+    """Windows over a row per token shuffled, sorted and spilled many times the texts."""
+    from millrace.plans.derived import sql_token_corpus
+
+    plan = executed_plan(st.features(st.token_table(sql_token_corpus(tables), "stmt_id", "sql"), "stmt_id"))
+    final = plan.split("Initial Plan")[0]
+    assert "explode" not in final and final.count("Window [") == 1
+
+
+def test_deep_parentheses_and_repeated_keys(spark):
+    deep = "SELECT 1 FROM " + "(" * 3000 + "SELECT a FROM b" + ")" * 3000 + ", c"
+    df = spark.createDataFrame([(1, deep), (2, "SELECT a JOIN b"), (2, "SELECT a JOIN b"), (3, ") SELECT (FROM d) FROM e")], "id long, sql string")
+    got = {r.id: r for r in st.features(st.token_table(df, "id", "sql"), "id").collect()}
+    assert [(t.schema_name, t.table_name) for t in got[1].tables] == [(None, "b"), (None, "c")] and got[1].max_depth == 3000
+    assert got[2].n_join == 2 and [t.table_name for t in got[2].tables] == ["join", "b"] and len(got) == 3  # tokens of both rows, in turn
+    assert got[3].unbalanced_parentheses and {t.table_name for t in got[3].tables} == {"d", "e"}

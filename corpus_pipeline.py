@@ -21,8 +21,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: texts linked by 5-word shingle sets of similarity 0.8 or more."""
-    return simhash.keep_one_similar(docs)
+    """One document of each group stays: texts linked by SimHash or by 5-word shingle sets of similarity 0.8 or more."""
+    return simhash.keep_one_similar(docs, index=True)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

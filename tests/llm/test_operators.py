@@ -538,3 +538,13 @@ def test_quality_stage_keeps_columns_that_share_its_names(spark, docs):
     assert got and all({r.model_lang, r.base_failed, r.log_ppl, r.Band} == {str(r.doc_id)} for r in got)
     good = {r.doc_id for r in quality.verdicts(own).where("kept").collect()}
     assert {r.doc_id for r in got} == good
+
+
+def test_the_stage_takes_the_links_of_the_index(spark):
+    """Texts whose fingerprints are near, but whose 5-word sets are not similar, are one group in the pipeline."""
+    texts = ["a b c d e f g " * 100 + f"u{i} v{i} w{i}" for i in range(2)] + ["something else that stands alone here"]
+    prints = [simhash.fingerprint(t) for t in texts]
+    assert (prints[0] ^ prints[1]).bit_count() <= simhash.RADIUS
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in simhash.keep_one_similar(df).collect()) == [0, 1, 2]
+    assert sorted(r.doc_id for r in corpus_pipeline.STAGES[1][1](spark, df, SMALL).collect()) == [0, 2]

@@ -5,9 +5,12 @@ occurrence by (doc_id, offset) stays, and all others are removed. A unit begins
 paragraph between blank lines) that is not blank and takes in the ones behind it until it has
 ``min_words`` words, so a long line is a unit of its own and short ones count as parts of a repeated
 run of lines: single short lines stand in many texts that share nothing else. With ``min_words`` of 1
-every line is judged alone. What is removed is told as spans: units that overlap are one span. A removed
-line always stays where it came first, since each occurrence leads to an earlier one. Offsets are code
-points of the original text, end exclusive.
+every line is judged alone. With ``passage_words`` a passage is found inside longer or edited lines too:
+a second kind of unit begins at every clause (a part of a line that ends with a mark before white space)
+and takes in the clauses behind it until it has so many words. Units are compared with those of their kind.
+What is removed is told as spans: units that overlap are one span. A removed line or clause always stays
+where it came first, since each occurrence leads to an earlier one. Offsets are code points of the
+original text, end exclusive.
 
 Defined cases. Null text: empty, no units. The end of a text that has fewer than ``min_words`` words
 begins no unit. A null doc_id ranks before all others. Rows that repeat a doc_id and text are copies: of
@@ -20,26 +23,33 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from itertools import accumulate, chain
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import by_slice, free_name, quoted
 from millrace.session import materialize
 
 MIN_WORDS = 15
-_UNITS = {"line": re.compile(r"[^\n]+"), "paragraph": re.compile(r"(?:[^\n]+\n?)+")}
+PASSAGE_WORDS = 40  # most passages of over 50 words hold a run of so many, shorter ones do not count
+_UNITS = {
+    "line": re.compile(r"[^\n]+"),
+    "paragraph": re.compile(r"(?:[^\n]+\n?)+"),
+    "clause": re.compile(r"(?=\S)[^\n.,;:!?]*(?:[.,;:!?]++(?!\s)[^\n.,;:!?]+)*[.,;:!?]*"),
+}
 _DIGITS = re.compile(r"\d+")
 
 
 def normalise(unit: str) -> list[str]:
     """Words in lower case and composed form, runs of digits as one zero."""
-    return _DIGITS.sub("0", unicodedata.normalize("NFC", unit).lower()).split()
+    return _DIGITS.sub("0", (unit if unit.isascii() else unicodedata.normalize("NFC", unit)).lower()).split()
 
 
 def units_of(text: str, unit: str = "line", min_words: int = MIN_WORDS) -> list[tuple[bytes, int, int]]:
-    """(digest, start, end) of the units, in order."""
+    """(digest, start, end) of the units, in order; the digests of clauses are others than those of lines."""
+    kind = b"clause" if unit == "clause" else b""
     lines = [(words, m.start(), m.end()) for m in _UNITS[unit].finditer(text) if (words := normalise(m.group()))]
     joined = [" ".join(words).encode("utf-8", "surrogatepass") for words, _, _ in lines]
     out, last, held = [], 0, 0  # the run holds the lines up to ``last``, ``held`` words
@@ -49,7 +59,7 @@ def units_of(text: str, unit: str = "line", min_words: int = MIN_WORDS) -> list[
             last += 1
         if held < min_words:
             break
-        out.append((hashlib.blake2b(b"\n".join(joined[first:last]), digest_size=16).digest(), start, lines[last - 1][2]))
+        out.append((hashlib.blake2b(b"\n".join(joined[first:last]), digest_size=16, person=kind).digest(), start, lines[last - 1][2]))
         held -= len(words)
     return out
 
@@ -62,18 +72,21 @@ def _numbered(docs: DataFrame, key: str) -> DataFrame:
     return materialize(docs.withColumn(key, F.monotonically_increasing_id()), "numbered")
 
 
-def _with_units(rows: DataFrame, unit: str, min_words: int) -> DataFrame:
+def _with_units(rows: DataFrame, unit: str, min_words: int, passage_words: int | None) -> DataFrame:
     """(row, doc_id, n_units, n_chars, units) from (row, doc_id, text)."""
-    kind = pa.list_(pa.struct([("digest", pa.binary()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def make():
         def apply(batch):
             texts = batch.column("text").to_pylist()
-            found = [units_of(t, unit, min_words) for t in texts]
+            found = [units_of(t, unit, min_words) + (units_of(t, "clause", passage_words) if passage_words else []) for t in texts]
+            counts = [len(u) for u in found]
+            digests, starts, ends = zip(*chain.from_iterable(found), strict=True) if any(counts) else ((), (), ())
+            flat = pa.StructArray.from_arrays(
+                [pa.array(digests, pa.binary()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], names=["digest", "start", "end"]
+            )
             columns = [
-                batch.column("row"), batch.column("doc_id"),
-                pa.array([len(u) for u in found], pa.int64()), pa.array([len(t) for t in texts], pa.int64()),
-                pa.array([[{"digest": d, "start": a, "end": b} for d, a, b in u] for u in found], kind),
+                batch.column("row"), batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array([len(t) for t in texts], pa.int64()),
+                pa.ListArray.from_arrays(pa.array([0, *accumulate(counts)], pa.int32()), flat),
             ]
             return pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "n_units", "n_chars", "units"])
 
@@ -82,7 +95,7 @@ def _with_units(rows: DataFrame, unit: str, min_words: int) -> DataFrame:
     return by_slice(rows, make, "row bigint, doc_id bigint, " + UNITS)
 
 
-def repeats(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS, row: str | None = None) -> DataFrame:
+def repeats(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS, row: str | None = None, passage_words: int | None = None) -> DataFrame:
     """(row, doc_id, n_units, n_chars, n_repeated, removed): spans to remove, in order; one row per document.
 
     ``n_repeated`` counts the units that stand elsewhere too, here first or not. ``row`` names a column that
@@ -92,30 +105,33 @@ def repeats(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS, row
     """
     number = F.col(row) if row else F.monotonically_increasing_id()
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), number.alias("row"))
-    found = materialize(_with_units(rows, unit, min_words), "units")
+    found = materialize(_with_units(rows, unit, min_words, passage_words), "units")
     each = found.select("row", "doc_id", F.explode("units").alias("u")).select(
         F.col("u.digest").alias("digest"), F.struct("doc_id", "row", F.col("u.start").alias("start"), F.col("u.end").alias("end")).alias("at")
     )
     first = each.groupBy("digest").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     first = materialize(first.select("digest", "first"), "repeated-digests")
-    later = F.when(~F.col("at").eqNullSafe(F.col("first")), F.struct(F.col("at.start").alias("start"), F.col("at.end").alias("end")))
-    again = each.join(first, "digest").select(F.col("at.row").alias("row"), later.alias("span"))
-    spans = again.groupBy("row").agg(F.count(F.lit(1)).alias("n_repeated"), F.sort_array(F.collect_list("span")).alias("spans"))
+    later = ~F.col("at").eqNullSafe(F.col("first"))
+    again = each.join(first, "digest").select(
+        F.col("at.row").alias("row"), F.when(later, F.col("at.start")).alias("start"), F.when(later, F.col("at.end")).alias("end")
+    )
+    # a maximal span begins where none before it reaches; units that stay have no place and come first
+    by_start = Window.partitionBy("row").orderBy("start", "end")
+    reach = F.max("end").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
+    begins = again.withColumn("begins", F.when(F.col("start") >= F.coalesce(reach, F.lit(0)), 1).otherwise(0))
+    spans = begins.withColumn("span", F.sum("begins").over(by_start.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = spans.groupBy("row", "span").agg(F.count(F.lit(1)).alias("n"), F.min("start").alias("start"), F.max("end").alias("end"))
+    listed = F.collect_list(F.when(F.col("span") > 0, F.struct("start", "end")))
+    spans = whole.groupBy("row").agg(F.sum("n").alias("n_repeated"), F.sort_array(listed).alias("removed"))
     none = F.expr("cast(array() as array<struct<start: bigint, end: bigint>>)")
-    # spans are in order of their starts and of their ends; a maximal one goes from a span that begins at
-    # or behind the end of the one before to one that ends at or before the start of the next
-    listed = F.col("spans")
-    begins = F.filter(listed, lambda s, i: (i == 0) | (F.get(listed, i - 1)["end"] <= s["start"]))
-    ends = F.filter(listed, lambda s, i: (i == F.size(listed) - 1) | (F.get(listed, i + 1)["start"] >= s["end"]))
-    whole = F.zip_with(begins, ends, lambda b, e: F.struct(b["start"].alias("start"), e["end"].alias("end")))
     return found.drop("units").join(spans, "row", "left").select(
-        "row", "doc_id", "n_units", "n_chars", F.coalesce("n_repeated", F.lit(0).cast("bigint")).alias("n_repeated"), F.coalesce(whole, none).alias("removed")
+        "row", "doc_id", "n_units", "n_chars", F.coalesce("n_repeated", F.lit(0).cast("bigint")).alias("n_repeated"), F.coalesce("removed", none).alias("removed")
     )
 
 
-def line_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def line_repeats(docs: DataFrame, min_words: int = MIN_WORDS, passage_words: int | None = None) -> DataFrame:
     """Per document: units, those that stand elsewhere too, spans removed, characters kept, and the spans."""
-    rows = repeats(docs, min_words=min_words)
+    rows = repeats(docs, min_words=min_words, passage_words=passage_words)
     chars = F.aggregate("removed", F.lit(0).cast("bigint"), lambda s, r: s + r.end - r.start)
     return rows.select(
         "doc_id", "n_units", "n_repeated", F.size("removed").cast("bigint").alias("n_removed"), (F.col("n_chars") - chars).alias("kept_chars"),
@@ -123,11 +139,11 @@ def line_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     )
 
 
-def remove_repeats(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
+def remove_repeats(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS, passage_words: int | None = None) -> DataFrame:
     """The documents with repeated units cut out, and the cut spans (original offsets) in a last column."""
     key, spans = free_name(docs, "row_key"), free_name(docs, "removed_spans")
     rows = _numbered(docs, key)
-    cut = repeats(rows, unit, min_words, row=key).select(F.col("row").alias(key), F.col("removed").alias(spans))
+    cut = repeats(rows, unit, min_words, key, passage_words).select(F.col("row").alias(key), F.col("removed").alias(spans))
     # pieces between the spans: each begins where the span before it ends
     begins = F.concat(F.array(F.lit(0).cast("bigint")), F.transform(spans, lambda r: r.end))
     ends = F.concat(F.transform(spans, lambda r: r.start), F.array(F.length("text").cast("bigint")))

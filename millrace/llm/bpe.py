@@ -19,24 +19,27 @@ import io
 import json
 import unicodedata
 from collections import Counter
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import by_slice, id_and_text
+from millrace.llm.common import by_slice, id_and_text, slices_of
 from millrace.session import materialize, scratch_path
 
 LEXICON_WORDS = 30_000  # most frequent words compiled; a parameter of speed only
 LEXICON_WORD_BYTES = 64  # longer words are left to the merges, which bounds the lexicon at about 10 MB
-CACHE = 200_000  # chunks a task remembers; twice as many until it forgets those not used again
-COUNTED = 150_000  # distinct words a task counts before it hands them on
+CACHE = 300_000  # chunks a task remembers; twice as many until it forgets those not used again
+COUNTED = 8_000_000  # bytes of text a task counts words in before it hands them on, or one longer text
 
 # what the normaliser takes for white space: Unicode's White_Space, as fixed by the standard
 _SPACES = regex.compile("[\t-\r \x85\xa0  -     　]+")
+_WIDE = "[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"  # those of them beyond ASCII
 _ODD = regex.compile("[\x1c-\x1f]")  # split() takes these for white space, the normaliser does not
 _LATIN = regex.compile("[\x00-ɏ]*")  # here all Unicode versions agree on letters, case and composition
 _MARKS = frozenset("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")  # ASCII, without the apostrophe
@@ -99,6 +102,14 @@ class Tokenizer:
         """Pieces between white space; no word crosses white space."""
         return _SPACES.split(text) if _ODD.search(text) else text.split()
 
+    def split(self, texts: pa.Array) -> pa.ListArray:
+        """The chunks of many texts at once; empty ones among them have no words."""
+        wide = pc.match_substring_regex(texts, _WIDE)
+        if wide.true_count:
+            pairs = zip(texts.to_pylist(), wide.to_pylist(), strict=True)
+            texts = pa.array([_SPACES.sub(" ", t) if w else t for t, w in pairs], texts.type)
+        return pc.ascii_split_whitespace(texts)
+
     def words(self, chunk: str):
         """Byte strings of a chunk's words, and ids of the special tokens in it."""
         for part in self.splitter.split(chunk) if "<|" in chunk else (chunk,):
@@ -160,7 +171,11 @@ class Tokenizer:
         return np.where((self.pair_keys[at] == key) & (a >= 0) & (b >= 0), self.pair_ranks[at], _NONE)
 
     def merge_many(self, words: list[bytes]) -> list[np.ndarray]:
-        """``merge`` of many words at once: one merge of every word per step, words of like length together."""
+        """``merge`` of many words at once."""
+        return [np.frombuffer(ids, "<u4") for ids in self.merge_packed(words)]
+
+    def merge_packed(self, words: list[bytes]) -> list[bytes]:
+        """Packed ids of many words: one merge of every word per step, words of like length together."""
         out: list = [None] * len(words)
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         for low, high in ((1, 6), (7, 10), (11, 16), (17, LEXICON_WORD_BYTES)):
@@ -170,10 +185,10 @@ class Tokenizer:
                 for w, ids in zip(group, self._merge_group([words[w] for w in group], high), strict=True):
                     out[w] = ids
         for w in np.flatnonzero(lengths > LEXICON_WORD_BYTES):
-            out[w] = np.array(self.merge(words[w]), np.int32)
+            out[w] = np.array(self.merge(words[w]), "<u4").tobytes()
         return out
 
-    def _merge_group(self, words: list[bytes], width: int) -> list[np.ndarray]:
+    def _merge_group(self, words: list[bytes], width: int) -> list[bytes]:
         n = len(words)
         lengths = np.fromiter(map(len, words), np.int64, n)
         letters = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(n, width)
@@ -191,8 +206,11 @@ class Tokenizer:
             best = ranks[here, at]
             over = best == _NONE
             if over.any():
-                for i in np.flatnonzero(over):
-                    done[row[i]] = ids[i][ids[i] >= 0]
+                ended = ids[over]  # ids stand on the left of a row
+                content, step = ended.astype("<u4").tobytes(), 4 * (width + 1)
+                places = zip(row[over].tolist(), (4 * (ended >= 0).sum(axis=1)).tolist(), strict=True)
+                for i, (at_word, size) in enumerate(places):
+                    done[at_word] = content[i * step : i * step + size]
                 live = ~over
                 row, ids, ranks, at, best = row[live], ids[live], ranks[live], at[live], best[live]
                 here = np.arange(len(row))
@@ -334,36 +352,44 @@ class Lexicon:
         return out
 
 
+def _strings(values: pa.Array) -> list[str]:
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
 def count_words(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """(word, n): words of all texts as the tokenizer splits them, counted per task first.
 
-    A task hands its counts on whenever it holds ``COUNTED`` distinct pieces, so its memory is bounded.
+    A task hands its counts on after every ``COUNTED`` bytes of text, so its memory is bounded.
     """
 
-    def make():
+    def run(batches):
         tokenizer = Tokenizer(tokenizer_path)
-        held: Counter = Counter()
+        held: list[pa.Array] = []
 
         def flush():
+            counts = pa.chunked_array(held).value_counts()
+            held.clear()
+            chunks = _strings(counts.field("values"))
+            times = dict(zip(chunks, counts.field("counts").to_numpy().tolist(), strict=True))
             words: Counter = Counter()
-            for chunk, found in tokenizer.words_of(held).items():
-                n = held[chunk]
+            for chunk, found in tokenizer.words_of(chunks).items():
+                n = times[chunk]
                 for w in found:
                     if isinstance(w, bytes) and len(w) <= LEXICON_WORD_BYTES:
                         words[w] += n
-            held.clear()
             return pa.RecordBatch.from_pydict({"word": pa.array(words.keys(), pa.binary()), "n": pa.array(words.values(), pa.int64())})
 
-        return tokenizer, held, flush
-
-    def run(batches):
-        tokenizer, held, flush = make()
+        size = 0
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                held.update(tokenizer.chunks(text))
-                if len(held) >= COUNTED:
+            for part in slices_of(batch):
+                more = pc.sum(pc.binary_length(part.column("text"))).as_py() or 0
+                if held and size + more > COUNTED:
                     yield flush()
-        yield flush()
+                    size = 0
+                held.append(tokenizer.split(part.column("text")).flatten())
+                size += more
+        if held:
+            yield flush()
 
     counted = id_and_text(docs).select("text").mapInArrow(run, "word binary, n bigint")
     return counted.groupBy("word").agg(F.sum("n").alias("n"))
@@ -396,7 +422,7 @@ ENCODED = "doc_id bigint, ids binary, n_tokens bigint"
 
 
 def _encoder(tokenizer_path: str, lexicon_file: str):
-    """A function from texts to packed ids (little-endian unsigned 32 bit), with caches of its own."""
+    """A function from texts to their ids (little-endian unsigned 32 bit), with caches of its own."""
     from pyspark import SparkFiles
 
     tokenizer = Tokenizer(tokenizer_path)
@@ -416,30 +442,43 @@ def _encoder(tokenizer_path: str, lexicon_file: str):
                 unseen.append(w)
             else:
                 known[w] = ids.tobytes()
-        for w, ids in zip(unseen, tokenizer.merge_many(unseen), strict=True):
-            known[w] = ids.astype("<u4").tobytes()
+        for w, ids in zip(unseen, tokenizer.merge_packed(unseen), strict=True):
+            known[w] = ids
         get = known.__getitem__
         for c, p in parts.items():
             cache[c] = get(p[0]) if len(p) == 1 else b"".join(map(get, p))
 
-    def encode(texts: list[str]) -> list[list[bytes]]:
-        """Per text the ids of its chunks."""
-        split = [tokenizer.chunks(t) for t in texts]
+    def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and where those of each text begin, with the end of the last."""
+        split = tokenizer.split(texts)
+        coded = split.flatten().dictionary_encode()
+        chunks = _strings(coded.dictionary)
         nonlocal cache, older, known
         if len(cache) > CACHE:
             cache, older = {}, cache
         if len(known) > CACHE:
             known = dict(specials)
-        new = set().union(*split).difference(cache)
+        new = set(chunks).difference(cache)
         cache.update((c, older[c]) for c in new if c in older)
         new.difference_update(older)
         if new:
             learn(new)
-        return [list(map(cache.__getitem__, s)) for s in split]
+        ids = pa.array(list(map(cache.__getitem__, chunks)), pa.large_binary()).take(coded.indices)
+        flat, ends = _in_a_row(ids)
+        return np.frombuffer(flat, "<u4"), ends[split.offsets.to_numpy()] // 4
 
     return tokenizer, encode
 
 
+def _in_a_row(values: pa.LargeBinaryArray) -> tuple[memoryview, np.ndarray]:
+    """The bytes of all values one behind the other, and where each value begins, with the end of the last."""
+    if not len(values):
+        return memoryview(b""), np.zeros(1, np.int64)
+    _, places, content = values.buffers()
+    ends = np.frombuffer(places, np.int64, len(values) + 1)
+    return memoryview(content or b"")[: ends[-1]], ends
+
+
 def encode(docs: DataFrame, tokenizer_path: str, lexicon: str | None = None) -> DataFrame:
     """(doc_id, ids, n_tokens) of every whole text; ids packed as little-endian unsigned 32 bit."""
     name = _ship(docs.sparkSession, lexicon or write_lexicon(docs, tokenizer_path))
@@ -448,9 +487,10 @@ def encode(docs: DataFrame, tokenizer_path: str, lexicon: str | None = None) ->
         _, enc = _encoder(tokenizer_path, name)
 
         def apply(batch):
-            ids = list(map(b"".join, enc(batch.column("text").to_pylist())))
-            sizes = pa.array([len(x) // 4 for x in ids], pa.int64())
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary()), sizes], names=["doc_id", "ids", "n_tokens"])
+            ids, at = enc(batch.column("text"))
+            packed = pa.array([ids[a:b].tobytes() for a, b in pairwise(at)], pa.binary())
+            sizes = pa.array(np.diff(at), pa.int64())
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), packed, sizes], names=["doc_id", "ids", "n_tokens"])
 
         return apply
 
@@ -480,20 +520,18 @@ def round_trip_digests(docs: DataFrame, tokenizer_path: str, lexicon: str | None
 
     def make():
         tokenizer, enc = _encoder(tokenizer_path, name)
-        said: dict[bytes, str] = {}  # decoded ids of chunks
+        blanked = pa.array([t.encode() + b" " for t in tokenizer.tokens], pa.large_binary())
+
+        def digests(content, places) -> pa.Array:
+            return pa.array([hashlib.sha256(content[a:b]).hexdigest() for a, b in places], pa.string())
 
         def apply(batch):
-            out = []
-            if len(said) > CACHE:
-                said.clear()
-            for parts in enc(batch.column("text").to_pylist()):
-                for part in set(parts).difference(said):
-                    said[part] = tokenizer.decode(np.frombuffer(part, "<u4").tolist())
-                # tokens are joined with blanks, within a chunk and between chunks
-                ids, decoded = b"".join(parts), " ".join([said[part] for part in parts if part])
-                out.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
-            n, a, b = zip(*out, strict=True)
-            columns = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
+            ids, at = enc(batch.column("text"))
+            # tokens are joined with blanks: each is written with one behind it, a text goes without its last
+            decoded, ends = _in_a_row(blanked.take(pa.array(ids)))
+            begins = ends[at]
+            texts = zip(begins[:-1].tolist(), np.maximum(begins[1:] - 1, begins[:-1]).tolist(), strict=True)
+            columns = [batch.column("doc_id"), pa.array(np.diff(at), pa.int64()), digests(ids, pairwise(at.tolist())), digests(decoded, texts)]
             return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
         return apply

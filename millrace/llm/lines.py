@@ -23,8 +23,9 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
-from itertools import accumulate, chain
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -64,7 +65,7 @@ def units_of(text: str, unit: str = "line", min_words: int = MIN_WORDS) -> list[
     return out
 
 
-UNITS = "n_units bigint, n_chars bigint, units array<struct<digest: binary, start: bigint, end: bigint>>"
+UNITS = "n_units bigint, n_passages bigint, n_chars bigint, units array<struct<digest: binary, start: bigint, end: bigint, passage: boolean>>"
 
 
 def _numbered(docs: DataFrame, key: str) -> DataFrame:
@@ -73,22 +74,26 @@ def _numbered(docs: DataFrame, key: str) -> DataFrame:
 
 
 def _with_units(rows: DataFrame, unit: str, min_words: int, passage_words: int | None) -> DataFrame:
-    """(row, doc_id, n_units, n_chars, units) from (row, doc_id, text)."""
+    """(row, doc_id, n_units, n_passages, n_chars, units) from (row, doc_id, text)."""
 
     def make():
         def apply(batch):
             texts = batch.column("text").to_pylist()
-            found = [units_of(t, unit, min_words) + (units_of(t, "clause", passage_words) if passage_words else []) for t in texts]
-            counts = [len(u) for u in found]
-            digests, starts, ends = zip(*chain.from_iterable(found), strict=True) if any(counts) else ((), (), ())
+            units = [units_of(t, unit, min_words) for t in texts]
+            passages = [units_of(t, "clause", passage_words) if passage_words else [] for t in texts]
+            counts, more = [len(u) for u in units], [len(p) for p in passages]
+            digests, starts, ends = zip(*chain(*chain.from_iterable(zip(units, passages, strict=True))), strict=True) if any(counts + more) else ((), (), ())
+            kinds = np.tile([False, True], len(texts)).repeat(np.ravel(np.column_stack([counts, more])))
             flat = pa.StructArray.from_arrays(
-                [pa.array(digests, pa.binary()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], names=["digest", "start", "end"]
+                [pa.array(digests, pa.binary()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), pa.array(kinds)],
+                names=["digest", "start", "end", "passage"],
             )
+            bounds = np.cumsum([0, *map(sum, zip(counts, more, strict=True))])
             columns = [
-                batch.column("row"), batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array([len(t) for t in texts], pa.int64()),
-                pa.ListArray.from_arrays(pa.array([0, *accumulate(counts)], pa.int32()), flat),
+                batch.column("row"), batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(more, pa.int64()),
+                pa.array([len(t) for t in texts], pa.int64()), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), flat),
             ]
-            return pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "n_units", "n_chars", "units"])
+            return pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "n_units", "n_passages", "n_chars", "units"])
 
         return apply
 
@@ -98,7 +103,8 @@ def _with_units(rows: DataFrame, unit: str, min_words: int, passage_words: int |
 def repeats(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS, row: str | None = None, passage_words: int | None = None) -> DataFrame:
     """(row, doc_id, n_units, n_chars, n_repeated, removed): spans to remove, in order; one row per document.
 
-    ``n_repeated`` counts the units that stand elsewhere too, here first or not. ``row`` names a column that
+    ``n_repeated`` counts the units that stand elsewhere too, here first or not. With ``passage_words`` the runs
+    of clauses are counted beside them: ``n_passages`` and ``n_repeated_passages`` come last. ``row`` names a column that
     numbers the rows; without it they are numbered here. The digests of a task are aggregated before the
     shuffle; the repeated ones, one row each, are written before units are joined with them, so that a unit
     in a third of all documents is split by adaptive execution. Texts are not moved.
@@ -107,35 +113,44 @@ def repeats(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS, row
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), number.alias("row"))
     found = materialize(_with_units(rows, unit, min_words, passage_words), "units")
     each = found.select("row", "doc_id", F.explode("units").alias("u")).select(
-        F.col("u.digest").alias("digest"), F.struct("doc_id", "row", F.col("u.start").alias("start"), F.col("u.end").alias("end")).alias("at")
+        F.col("u.digest").alias("digest"), F.struct("doc_id", "row", F.col("u.start").alias("start"), F.col("u.end").alias("end")).alias("at"),
+        F.col("u.passage").alias("passage"),
     )
     first = each.groupBy("digest").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     first = materialize(first.select("digest", "first"), "repeated-digests")
     later = ~F.col("at").eqNullSafe(F.col("first"))
     again = each.join(first, "digest").select(
-        F.col("at.row").alias("row"), F.when(later, F.col("at.start")).alias("start"), F.when(later, F.col("at.end")).alias("end")
+        F.col("at.row").alias("row"), "passage", F.when(later, F.col("at.start")).alias("start"), F.when(later, F.col("at.end")).alias("end")
     )
     # a maximal span begins where none before it reaches; units that stay have no place and come first
     by_start = Window.partitionBy("row").orderBy("start", "end")
     reach = F.max("end").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
     begins = again.withColumn("begins", F.when(F.col("start") >= F.coalesce(reach, F.lit(0)), 1).otherwise(0))
     spans = begins.withColumn("span", F.sum("begins").over(by_start.rowsBetween(Window.unboundedPreceding, 0)))
-    whole = spans.groupBy("row", "span").agg(F.count(F.lit(1)).alias("n"), F.min("start").alias("start"), F.max("end").alias("end"))
+    whole = spans.groupBy("row", "span").agg(
+        F.count_if(~F.col("passage")).alias("n"), F.count_if("passage").alias("m"), F.min("start").alias("start"), F.max("end").alias("end")
+    )
     listed = F.collect_list(F.when(F.col("span") > 0, F.struct("start", "end")))
-    spans = whole.groupBy("row").agg(F.sum("n").alias("n_repeated"), F.sort_array(listed).alias("removed"))
+    spans = whole.groupBy("row").agg(F.sum("n").alias("n_repeated"), F.sum("m").alias("n_repeated_passages"), F.sort_array(listed).alias("removed"))
     none = F.expr("cast(array() as array<struct<start: bigint, end: bigint>>)")
+    zero = F.lit(0).cast("bigint")
+    passages = ["n_passages", F.coalesce("n_repeated_passages", zero).alias("n_repeated_passages")] if passage_words else []
     return found.drop("units").join(spans, "row", "left").select(
-        "row", "doc_id", "n_units", "n_chars", F.coalesce("n_repeated", F.lit(0).cast("bigint")).alias("n_repeated"), F.coalesce("removed", none).alias("removed")
+        "row", "doc_id", "n_units", "n_chars", F.coalesce("n_repeated", zero).alias("n_repeated"), F.coalesce("removed", none).alias("removed"), *passages
     )
 
 
 def line_repeats(docs: DataFrame, min_words: int = MIN_WORDS, passage_words: int | None = None) -> DataFrame:
-    """Per document: units, those that stand elsewhere too, spans removed, characters kept, and the spans."""
+    """Per document: units, those that stand elsewhere too, spans removed, characters kept, and the spans.
+
+    With ``passage_words`` followed by the runs of clauses, and those of them that stand elsewhere too.
+    """
     rows = repeats(docs, min_words=min_words, passage_words=passage_words)
     chars = F.aggregate("removed", F.lit(0).cast("bigint"), lambda s, r: s + r.end - r.start)
     return rows.select(
         "doc_id", "n_units", "n_repeated", F.size("removed").cast("bigint").alias("n_removed"), (F.col("n_chars") - chars).alias("kept_chars"),
         F.array_join(F.transform("removed", lambda r: F.concat(r.start.cast("string"), F.lit(":"), r.end.cast("string"))), ",").alias("removed"),
+        *(["n_passages", "n_repeated_passages"] if passage_words else []),
     )
 
 
